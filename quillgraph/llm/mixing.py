@@ -31,8 +31,10 @@ DOMAINS = ("low", "toxic", "clean")
 BUCKETS = 4096
 PER_LABEL = 5000
 WEIGHT = 48
-ROUNDS = 60
-TOLERANCE = 1e-6
+ROUNDS = 40
+TOLERANCE = 1e-5
+#: A round that moves no total by this share of its mass ends the fit: targets that can't be met are then as near as they get.
+STALL = 1e-4
 SHARES = {"low": 0.05, "toxic": 0.05, "clean": 0.90}
 
 
@@ -89,12 +91,16 @@ class DomainModel:
 
 def rate(steps: list[dict[str, float]], most: float | None = None) -> F.Column:
     """A document's rate after the rounds' scaled residuals, from 1."""
-    w = F.lit(1.0)
-    for step in steps:
-        w = F.greatest(F.lit(0.0), w - sum((F.col(f"_p_{d}") * F.lit(c) for d, c in step.items()), F.lit(0.0)))
-        if most is not None:
-            w = F.least(F.lit(float(most)), w)
-    return F.when(F.col("_tokens") > 0, w).otherwise(1.0)
+    if not steps:
+        return F.lit(1.0)
+    table = F.array(*(F.array(*(F.lit(float(step.get(d, 0.0))) for d in DOMAINS)) for step in steps))
+    most = math.inf if most is None else most
+
+    def round_of(w: F.Column, step: F.Column) -> F.Column:
+        moved = w - sum((F.col(f"_p_{d}") * step[i] for i, d in enumerate(DOMAINS)), F.lit(0.0))
+        return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved))
+
+    return F.when(F.col("_tokens") > 0, F.aggregate(table, F.lit(1.0), round_of)).otherwise(1.0)
 
 
 def fit_rates(members: DataFrame, targets, most: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[dict[str, float]]:
@@ -103,19 +109,23 @@ def fit_rates(members: DataFrame, targets, most: float | None = None, rounds: in
     live = [d for d in DOMAINS if (masses[d] or 0) > 0]
     goal = targets({d: masses[d] or 0.0 for d in DOMAINS})
     steps: list[dict[str, float]] = []
-    before = math.inf
-    totals = masses
+    totals, before = masses, None
     for _ in range(rounds):
-        error = max((abs(totals[d] - goal[d]) / masses[d] for d in live), default=0.0)
-        if error < tolerance or abs(before - error) < tolerance * 1e-3:
+        if max((abs(totals[d] - goal[d]) / masses[d] for d in live), default=0.0) < tolerance:
+            break
+        if before and max(abs(totals[d] - before[d]) / masses[d] for d in live) < STALL:
             break
-        before = error
+        before = totals
         steps.append({d: (totals[d] - goal[d]) / masses[d] for d in live})
-        # the rounds so far, unrolled; a chain of bounded length: rounds is
-        totals = members.agg(*(F.sum(rate(steps, most) * F.col("_tokens") * F.col(f"_p_{d}")).alias(d) for d in live)).first().asDict()
+        totals = _totals(members, steps, most, live)
     return steps
 
 
+def _totals(members: DataFrame, steps: list[dict[str, float]], most: float | None, live: list[str]) -> dict[str, float]:
+    weighed = members.withColumn("_w", rate(steps, most) * F.col("_tokens"))
+    return weighed.agg(*(F.sum(F.col("_w") * F.col(f"_p_{d}")).alias(d) for d in live)).first().asDict()
+
+
 def by_shares(shares: dict[str, float] = SHARES):
     """Targets: the present number of tokens, shared out anew."""
     return lambda masses: {d: shares[d] * sum(masses.values()) for d in masses}
