@@ -38,14 +38,16 @@ STALL = 1e-4
 SHARES = {"low": 0.05, "toxic": 0.05, "clean": 0.90}
 
 
-def features(text: F.Column) -> F.Column:
-    """Hashed words of a text: lower case, without commas and full stops; of words that end in a symbol, that ending."""
-    words = F.split(F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "\n\t\r.,;", "   "), " ")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(F.when(F.right(w, F.lit(1)).isin(*"%&$#*!|"), F.right(w, F.lit(2))).otherwise(w)), F.lit(BUCKETS)).cast("int"))
+def words(documents: DataFrame, *columns) -> DataFrame:
+    """(columns, word): the lower-cased words of ``text`` without commas and full stops; a text without words gives one empty word."""
+    plain = F.translate(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n\t\r.,;", "   ")
+    return documents.select(*columns, F.explode_outer(F.split(plain, " ")).alias("word"))
 
 
-def _adder(table: F.Column):
-    return lambda total, bucket: total + F.get(table, bucket)
+def bucket() -> F.Column:
+    """A word's feature; words that end in a symbol share that ending's."""
+    ending = F.when(F.right("word", F.lit(1)).isin(*"%&$#*!|"), F.right("word", F.lit(2))).otherwise(F.col("word"))
+    return F.pmod(F.xxhash64(ending), F.lit(BUCKETS)).cast("int")
 
 
 class DomainModel:
@@ -65,7 +67,7 @@ class DomainModel:
         rows = None
         for d in DOMAINS:
             part = labelled_sample(documents, named.where(F.col("domain") == d).withColumn("one", F.lit(1)), "one", per_label)
-            part = part.select(F.lit(d).alias("domain"), F.explode(features(F.col("text"))).alias("bucket"))
+            part = words(part, F.lit(d).alias("domain")).where("word <> ''").select("domain", bucket().alias("bucket"))
             rows = part if rows is None else rows.unionByName(part)
         held = rows.groupBy("domain", "bucket").count().collect()  # at most BUCKETS for each domain
         seen = {d: [0.5] * BUCKETS for d in DOMAINS}
@@ -75,18 +77,23 @@ class DomainModel:
         base = log[DOMAINS[-1]]
         return cls(prior, {d: [round(x - y, 4) for x, y in zip(log[d], base, strict=True)] for d in DOMAINS[:-1]})
 
-    def add_posteriors(self, documents: DataFrame) -> DataFrame:
-        """``documents`` with _tokens and the posteriors _p_<domain>."""
-        out = documents.withColumn("_f", features(F.col("text"))).withColumn("_tokens", F.size("_f").cast("double"))
+    def members(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, _of, _tokens, _p_<domain>) per row of ``documents``, materialised; _of is a hash of the text.
+
+        Words are looked up in the model's tables as they are split and summed before anything is shuffled.
+        """
+        rows = documents.select("doc_id", "text", F.xxhash64("text").alias("_of"), F.monotonically_increasing_id().alias("_row"))
+        said = words(rows, "_row", "doc_id", "_of").withColumn("_b", F.when(F.col("word") != "", bucket()))
+        table = {d: F.expr(f"array({','.join(f'{x}D' for x in self.odds[d])})") for d in DOMAINS[:-1]}
+        sums = said.groupBy("_row", "doc_id", "_of").agg(F.count("_b").cast("double").alias("_tokens"), *(F.sum(F.get(table[d], F.col("_b"))).alias(f"_s_{d}") for d in DOMAINS[:-1]))
         base = self.prior[DOMAINS[-1]]
         for d in DOMAINS[:-1]:
-            table = F.split(F.lit(",".join(map(str, self.odds[d]))), ",").cast("array<double>")
-            sums = F.aggregate("_f", F.lit(0.0), _adder(table))
-            out = out.withColumn(f"_z_{d}", F.lit(self.prior[d] - base) + F.when(F.col("_tokens") > 0, sums / F.col("_tokens") * F.least("_tokens", F.lit(float(WEIGHT)))).otherwise(0.0))
-        z = [F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(f"_z_{d}"))) for d in DOMAINS[:-1]]
-        whole = sum((F.exp(x) for x in z), F.lit(1.0))
-        posterior = {f"_p_{d}": F.exp(x) / whole for d, x in zip(DOMAINS, [*z, F.lit(0.0)], strict=True)}
-        return out.withColumns(posterior).drop("_f", *(f"_z_{d}" for d in DOMAINS[:-1]))
+            mean = F.coalesce(F.col(f"_s_{d}") / F.nullif("_tokens", F.lit(0.0)), F.lit(0.0))
+            z = F.lit(self.prior[d] - base) + mean * F.least("_tokens", F.lit(float(WEIGHT)))
+            sums = sums.withColumn(f"_e_{d}", F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), z))))
+        whole = sum((F.col(f"_e_{d}") for d in DOMAINS[:-1]), F.lit(1.0))
+        posterior = [((F.col(f"_e_{d}") if d != DOMAINS[-1] else F.lit(1.0)) / whole).alias(f"_p_{d}") for d in DOMAINS]
+        return materialize(sums.select("doc_id", "_of", "_tokens", *posterior))
 
 
 def rate(steps: list[dict[str, float]], most: float | None = None) -> F.Column:
@@ -138,17 +145,16 @@ def by_factors(factors: dict[str, float]):
 
 def mix(documents: DataFrame, labels: DataFrame, targets=None, most: float | None = None) -> DataFrame:
     """(doc_id, n_words, p_low, p_toxic, p_clean, rate) per row of ``documents``."""
-    model = DomainModel.fit(documents, labels)
-    columns = ["_tokens", *(f"_p_{d}" for d in DOMAINS)]
-    members = materialize(model.add_posteriors(documents.select("doc_id", "text")).select("doc_id", *columns))
+    members = DomainModel.fit(documents, labels).members(documents)
     steps = fit_rates(members, targets or by_shares(), most)
     return members.select("doc_id", F.col("_tokens").cast("long").alias("n_words"), *(F.col(f"_p_{d}").alias(f"p_{d}") for d in DOMAINS), rate(steps, most).alias("rate"))
 
 
 def thin(documents: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFrame:
     """The rows of ``documents`` that stay when domains are thinned by ``factors``: rates are held at 1 or less, and a row stays with its rate as probability, drawn by a hash of the row."""
-    model = DomainModel.fit(documents, labels)
-    members = materialize(model.add_posteriors(documents.select("text")).select("_tokens", *(f"_p_{d}" for d in DOMAINS)))
+    members = DomainModel.fit(documents, labels).members(documents)
     steps = fit_rates(members, by_factors(factors), most=1.0)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
-    return model.add_posteriors(documents).where(draw < rate(steps, 1.0)).select(*documents.columns)
+    draw = F.pmod(F.xxhash64("doc_id", "_of", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
+    gone = members.where(draw >= rate(steps, 1.0)).select(F.col("doc_id").alias("_id"), F.col("_of").alias("_gone")).distinct()
+    same = documents["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(documents["text"]).eqNullSafe(F.col("_gone"))
+    return documents.join(gone, same, "left_anti")
