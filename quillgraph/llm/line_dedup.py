@@ -43,11 +43,11 @@ def dedup_lines(documents: DataFrame, site: str = "source", min_sites: int = MIN
     lines = materialize(_lines(documents, site))
     common = boilerplate(lines, min_sites)
     marked = lines.join(common, ["h", "g"]).groupBy("doc_id", "of").agg(F.collect_set("pos").alias("gone"))
-    marked = marked.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.col("gone").alias("_gone"))
+    marked = marked.select(F.col("doc_id").alias("__qg_id"), F.col("of").alias("__qg_of"), F.col("gone").alias("__qg_gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = documents.join(marked, documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_of")), "left")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    joined = documents.join(marked, documents["doc_id"].eqNullSafe(F.col("__qg_id")) & (F.xxhash64(text) == F.col("__qg_of")), "left")
+    gone = F.coalesce("__qg_gone", F.array().cast("array<int>"))
     parts = F.split(text, "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(gone, i))
     out = joined.withColumns({"text": F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n")), "n_lines": F.size(parts).cast("long"), "n_removed": F.size(gone).cast("long")})
-    return out.drop("_id", "_of", "_gone")
+    return out.drop("__qg_id", "__qg_of", "__qg_gone")

@@ -155,6 +155,6 @@ def thin(documents: DataFrame, labels: DataFrame, factors: dict[str, float]) ->
     members = DomainModel.fit(documents, labels).members(documents)
     steps = fit_rates(members, by_factors(factors), most=1.0)
     draw = F.pmod(F.xxhash64("doc_id", "_of", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
-    gone = members.where(draw >= rate(steps, 1.0)).select(F.col("doc_id").alias("_id"), F.col("_of").alias("_gone")).distinct()
-    same = documents["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(documents["text"]).eqNullSafe(F.col("_gone"))
+    gone = members.where(draw >= rate(steps, 1.0)).select(F.col("doc_id").alias("__qg_id"), F.col("_of").alias("__qg_gone")).distinct()
+    same = documents["doc_id"].eqNullSafe(F.col("__qg_id")) & F.xxhash64(documents["text"]).eqNullSafe(F.col("__qg_gone"))
     return documents.join(gone, same, "left_anti")

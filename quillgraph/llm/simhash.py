@@ -177,6 +177,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Rows without a doc_id can't stand for a group and are kept as they are.
     """
     group = near_duplicates(documents.where("doc_id is not null"))
-    kept = group.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = group.where("doc_id = component_id").select(F.col("doc_id").alias("__qg_kept")).distinct()
+    one = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__qg_kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(documents.where("doc_id is null"))
