@@ -1,11 +1,11 @@
 """Column expressions for names, quotes, ids and hosts. The normalisers differ on purpose and are never shared."""
 
-from __future__ import annotations
-
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 NAME_STOPWORDS = ("el", "la", "los", "las", "de", "del", "un", "una", "y", "en", "a", "proyecto", "edificio")
@@ -21,15 +21,18 @@ _SEVERAL = {c: a for c, a in _ASCII.items() if len(a) > 1}
 def fold_ascii(text: Column) -> Column:
     """Compatibility-decompose, drop what isn't ASCII, lower case (Latin letters; other scripts vanish, as they do in the decomposition)."""
     out = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
-    for char, ascii_ in _SEVERAL.items() if len(_SEVERAL) < 20 else []:
+    for char, ascii_ in _SEVERAL.items():
         out = F.replace(out, F.lit(char), F.lit(ascii_))
     return F.lower(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
 
 
-@F.pandas_udf("string")
-def fold_ascii_exact(text):
+def fold_ascii_exact(text: Column) -> Column:
     """The same for every script, by Arrow batches."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
+
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
+
+    return F.pandas_udf(fold, StringType())(text)
 
 
 def collapse(text: Column) -> Column:

@@ -323,7 +323,7 @@ def cooccurrence(spark, d):
 with b as (select user_id as actor, event_type as case_id, count(distinct strftime(ts, '%Y-%m-%d')) as weight from events where user_id % 3 = 0 group by 1, 2),
 g as (select case_id, count(*) as deg from b group by 1), w as (select case_id, list(weight order by weight) as v, len(list(weight)) as n from b group by case_id),
 j as (select *, least(greatest(floor((n + 1) * 9 / 10), 1), n - 1)::int as j from w), z as (select *, (n + 1) * 9 - j * 10 as delta from j)
-select z.case_id, g.deg::bigint as n_actors, median(b.weight)::double as median_weight, any_value((v[j] * (10 - delta) + v[j + 1] * delta) / 10.0)::double as p90_weight
+select z.case_id, g.deg::bigint as n_actors, median(b.weight)::double as median_weight, any_value(case when n >= 10 then (v[j] * (10 - delta) + v[j + 1] * delta) / 10.0 else v[n] end)::double as p90_weight
 from z join g using (case_id) join b using (case_id) group by z.case_id, g.deg""")
 def bipartite_degree(spark, d):
     e = t(spark, d, "events").where("user_id % 3 = 0").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
