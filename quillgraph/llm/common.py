@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of texts that a Python worker is handed at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,5 +64,17 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, per_va
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
+def bounded_batches(documents: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """``documents``, whose session now hands its rows to Python in batches of at most ``most`` bytes (a longer row alone).
+
+    Spark's own bound is 10,000 rows or 64 MB, held by the JVM and the worker of every task. A smaller bound is kept.
+    """
+    conf = documents.sparkSession.conf
+    now = int((conf.get(BATCH_KEY, None) or "-1").removesuffix("b"))
+    if not 0 < now <= most:
+        conf.set(BATCH_KEY, str(most))
+    return documents
+
+
 def utf8(value: str | None) -> bytes:
     return value.encode("utf-8", "surrogatepass") if value else b""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import labelled_sample
+from quillgraph.llm.common import bounded_batches, labelled_sample
 
 EMBED, WIDTH, STRIDE, FILTERS = 4, 8, 4, 24
 CHUNK = 512
@@ -247,7 +247,7 @@ def score(documents: DataFrame, net: Network, threshold: float = THRESHOLD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = bounded_batches(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -260,7 +260,7 @@ def keep_good(documents: DataFrame, net: Network, threshold: float = THRESHOLD)
             good = np.array([held.value.score(t) >= threshold for t in batch.column("text").to_pylist()], bool)
             yield batch.filter(pa.array(good))
 
-    return documents.mapInArrow(run, documents.schema)
+    return bounded_batches(documents).mapInArrow(run, documents.schema)
 
 
 def held_out_accuracy(labelled: list[tuple[int, float, int]]) -> float:

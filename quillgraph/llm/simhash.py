@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import bounded_batches, materialize
 from quillgraph.operators.components import connected_components
 
 SEED = 42
@@ -65,7 +65,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp long) of each row."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded_batches(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _variants(fp: F.Column) -> F.Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, shared_path
+from quillgraph.llm.common import bounded_batches, materialize, shared_path
 from quillgraph.llm.storage import NewFile, open_file
 
 MAGIC = b"QGTOKEN1"
@@ -285,7 +285,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, len(lengths), sum(lengths))], names)
 
     ranged = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = materialize(ranged.mapInArrow(write, "shard long, file string, n_docs long, n_ids long"))
+    written = materialize(bounded_batches(ranged).mapInArrow(write, "shard long, file string, n_docs long, n_ids long"))
     # a row for each shard: their number is the input's size over SHARD_BYTES
     rows, start, manifest = sorted(tuple(r) for r in written.collect()), 0, []
     for shard, file, n_docs, n_ids in rows:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -294,3 +295,18 @@ def test_pipeline_stages(spark, tmp_path):
         sizes.append(docs_.count())
         assert i == 4 or docs_.columns == table.columns
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from quillgraph.llm import common
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('x', 2000) as text")
+    rows = [r["n"] for r in common.bounded_batches(docs, 1 << 20).mapInArrow(count, "n long").collect()]
+    assert sum(rows) == 3000 and max(rows) < 600
+    common.bounded_batches(docs, 2 << 20)
+    assert spark.conf.get(common.BATCH_KEY).removesuffix("b") == str(1 << 20)
+    spark.conf.unset(common.BATCH_KEY)
