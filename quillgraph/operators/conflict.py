@@ -12,6 +12,7 @@ from quillgraph.operators.components import connected_components
 
 # Fixed values.
 ROLES = {"focal": 5, "co_focal": 4, "contextual_mention": 3, "panoramic": 2, "mentioned_unreviewed": 1}
+RELATIONS = ("mismo_conflicto", "conflictos_distintos", "mismo_proyecto", "focal", "contextual")
 MIN_SHARED_QUOTE = 8
 
 
@@ -37,7 +38,7 @@ def duplicate_groups(mentions: DataFrame) -> DataFrame:
 
 def case_groups(relations: DataFrame, cases: DataFrame) -> DataFrame:
     """(case_id, conflict_id): cases joined by 'mismo_conflicto' relations (case_a, case_b, relation); unknown relations raise."""
-    unknown = relations.where(~F.col("relation").isin("mismo_conflicto", "conflictos_distintos", "mismo_proyecto"))
+    unknown = relations.where(~F.col("relation").isin(*RELATIONS))
     if not unknown.isEmpty():
         raise ValueError("unknown relation")
     edges = relations.where("relation = 'mismo_conflicto'").select(F.col("case_a").alias("src"), F.col("case_b").alias("dst"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +78,47 @@ def averaged_rank(value: str) -> Column:
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho): null for fewer than three pairs. Ranks come from counts of equal values, so only distinct values are sorted together."""
+    """(n, rho): null for fewer than three pairs and where one side is constant. Ranks come from counts of equal values, so only distinct values are sorted together."""
     ranked = pairs
     for c in (x, y):
         counts = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
         before = F.coalesce(F.sum("_c").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranked = ranked.join(counts.select(c, (before + (F.col("_c") + 1) / 2.0).alias(f"_rank_{c}")), c)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("r")).select("n", F.when(F.col("n") >= 3, F.col("r")).alias("rho"))
+    rx, ry = f"_rank_{x}", f"_rank_{y}"
+    r = F.try_divide(F.covar_pop(rx, ry), F.stddev_pop(rx) * F.stddev_pop(ry))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), r.alias("r")).select("n", F.when(F.col("n") >= 3, F.col("r")).alias("rho"))
+
+
+def t_two_sided(t: float, df: int) -> float:
+    """Chance that Student's t with ``df`` degrees of freedom is at least as far from zero: the incomplete beta function by Lentz's continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    swapped = x > (a + 1) / (a + b + 2)
+    if swapped:
+        x, a, b = 1 - x, b, a
+    if x <= 0:
+        return 1.0 if swapped else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, f = 1.0, 0.0, 1.0
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d or 1e-300)
+        c = 1 + step / c or 1e-300
+        f *= c * d
+        if abs(c * d - 1) < 1e-13:
+            break
+    tail = front * (f - 1)
+    return 1 - tail if swapped else tail
+
+
+def spearman_test(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, rho, p) of one row: p by Student's t with n - 2 degrees of freedom; null without a rho, 0 where it is 1 or -1."""
+
+    def chance(n: pd.Series, rho: pd.Series) -> pd.Series:
+        one = lambda k, r: None if r is None or r != r else 0.0 if abs(r) >= 1 - 1e-15 else t_two_sided(r * math.sqrt((k - 2) / (1 - r * r)), k - 2)
+        return pd.Series([one(int(k), r) for k, r in zip(n, rho, strict=True)], dtype="float64")
+
+    return spearman(pairs, x, y).withColumn("p", F.pandas_udf(chance, "double")("n", "rho"))
 
 
 def decomposition(gate: DataFrame, collapse: DataFrame, both: DataFrame) -> DataFrame:

@@ -22,11 +22,15 @@ def registry(mentions: DataFrame, splits: DataFrame | None = None) -> DataFrame:
 def review_pairs(names: DataFrame, least: int = 6) -> DataFrame:
     """(a, b), a < b: names of ``least`` characters or more of which one contains the other.
 
-    The longer name is cut into all its substrings at word starts that a shorter name could begin with; only
-    containments that begin inside a word need the theta join, which is kept for exactness.
+    Every name is cut into its runs of ``least`` characters; a name can only stand in those that have its first run,
+    so candidates meet by equality and are then compared whole.
     """
     n = names.select("name").where(F.length("name") >= least).distinct()
-    return n.select(F.col("name").alias("a")).join(n.select(F.col("name").alias("b")), (F.col("a") < F.col("b")) & (F.contains("a", F.col("b")) | F.contains("b", F.col("a"))))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - least + 1), lambda i: F.col("name").substr(i, F.lit(least))))
+    holder = n.select(F.col("name").alias("holder"), F.explode(runs).alias("run"))
+    held = n.select(F.col("name").alias("held"), F.left("name", F.lit(least)).alias("run"))
+    met = holder.join(held, "run").where((F.col("holder") != F.col("held")) & F.contains("holder", F.col("held")))
+    return met.select(F.least("holder", "held").alias("a"), F.greatest("holder", "held").alias("b"))
 
 
 def pair_decision(a: Column, b: Column) -> tuple[Column, Column]:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
-from quillgraph.operators import audit, conflict, evidence, geo, network, present, resolve
+from quillgraph.functions.fragment import fragment
+from quillgraph.operators import audit, conflict, evidence, geo, layers, network, present, resolve
 from quillgraph.operators.components import connected_components
 from quillgraph.sources import ingest
 from quillgraph.streaming import resume
@@ -504,3 +505,83 @@ select p_brand as node, case when count(*) filter (where p_type = 'PROMO') + cou
 def tri_state_votes(spark, d):
     votes = t(spark, d, "part").where("p_partkey % 9 = 0").select("p_brand", F.when(F.col("p_type") == "PROMO", 1).when(F.col("p_type") == "SMALL", 0).alias("vote"))
     return votes.groupBy(F.col("p_brand").alias("node")).agg(network.tri_state().alias("es_institucional"))
+
+
+@query("""
+with r as (select o_custkey as document_id, o_orderkey as relation_index, ['mismo_conflicto', 'conflictos_distintos', 'focal', 'contextual', 'mismo_proyecto', 'odd'][o_orderkey % 6 + 1] as relation, [o_custkey % 40, o_orderkey % 41] as ids from orders),
+i as (select document_id, relation_index, relation, unnest(ids) as id from r where relation <> 'odd'),
+g as (select *, case when id between 30 and 34 then id - 20 else id end as now from i),
+x as (select document_id, relation_index, relation, id as historical_case_id, case when relation in ('focal', 'contextual') then 'document_conflict_membership' when relation = 'mismo_proyecto' then 'project_identity_not_resolved'
+  when id in (35, 36) then 'confirmed_non_resolvable_historical_reference' else 'conflict_topology' end as impact_scope from g where now not in (select n_nationkey from nation)
+  union all select document_id, relation_index, relation, ids[1], 'unknown_relation_fail_closed' from r where relation = 'odd')
+select *, impact_scope in ('conflict_topology', 'unknown_relation_fail_closed') as blocking from x""")
+def historical_references(spark, d):
+    kinds = F.array(*map(F.lit, ("mismo_conflicto", "conflictos_distintos", "focal", "contextual", "mismo_proyecto", "odd")))
+    relations = t(spark, d, "orders").select(
+        F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("relation_index"), kinds[(F.col("o_orderkey") % 6).cast("int")].alias("relation"), F.array(F.col("o_custkey") % 40, F.col("o_orderkey") % 41).alias("case_ids")
+    )
+    ids = spark.range(41).select(F.col("id").alias("old"))
+    aliases = ids.where("old between 30 and 34").withColumn("new", F.col("old") - 20)
+    return layers.historical_references(relations, t(spark, d, "nation").select(F.col("n_nationkey").alias("case_id")), aliases, ids.where("old in (35, 36)").withColumnRenamed("old", "case_id"))
+
+
+@query("""
+with k as (select unnest(range(10)) as k), p as (select n_nationkey as id, n_name as name from nation),
+g as (select id, name, 'phase:' || substr(sha256((case when id >= 20 then id - 10 else id end)::varchar), 1, 24) as phase_id, id >= 20 or id < 14 as twin from p where id between 10 and 23)
+select id::bigint as project_id, phase_id, case when twin then 'same_phase_alias' else 'represents_phase' end as relation_type, name as evidence from g
+union all select (k % 5)::bigint, g.phase_id, 'has_phase', m.name || ' -> ' || g.name from k join p m on m.id = k % 5 join g on g.id = 10 + k""")
+def phase_links(spark, d):
+    projects = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("project_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("case_id"))
+    called = {r["project_id"]: r["name"] for r in projects.where("project_id < 25").collect()}
+    parts = spark.createDataFrame([(called[k % 5], called[10 + k]) for k in range(10)], "matrix string, phase string")
+    same = spark.createDataFrame([(called[10 + k], called[20 + k]) for k in range(4)], "a string, b string")
+    return layers.phase_layer(projects, parts, same)[1]
+
+
+@query("""
+with r as (select 's' || s_nationkey as s, ['phase', 'replaces', 'odd'][s_suppkey % 3 + 1] as k, 's' || (s_suppkey % 30) as o, case when s_suppkey % 4 = 0 then 'http://x' when s_suppkey % 11 = 0 then ' ' else 'https://x' end as url, s_suppkey % 7 = 0 as long, s_suppkey % 5 = 0 as loose from supplier),
+n as (select s, k, o, count(*) as n from r group by all)
+select s as subject_project_id, k as relation_type, o as object_project_id, errors from (
+  select s, k, o, list_filter([case when s = o then 'self' end, case when n > 1 then 'repeated' end, case when k = 'odd' then 'unknown_type' end, case when substr(o, 2)::int > 24 then 'unknown_project' end,
+    case when url = ' ' then 'no_evidence_url' end, case when url = 'http://x' then 'not_https' end, case when long then 'long_quote' end, case when loose then 'not_verified' end], lambda x: x is not null) as errors from r join n using (s, k, o))
+where len(errors) > 0""")
+def relation_errors(spark, d):
+    k = F.col("s_suppkey")
+    kinds = F.array(*map(F.lit, ("phase", "replaces", "odd")))
+    rows = t(spark, d, "supplier").select(
+        F.concat(F.lit("s"), "s_nationkey").alias("subject_project_id"), kinds[(k % 3).cast("int")].alias("relation_type"), F.concat(F.lit("s"), (k % 30).cast("string")).alias("object_project_id"),
+        F.when(k % 4 == 0, "http://x").when(k % 11 == 0, " ").otherwise("https://x").alias("evidence_url"), F.lit("title").alias("source_title"), F.lit("p. 1").alias("source_locator"),
+        F.when(k % 7 == 0, F.repeat(F.lit("word "), F.lit(26))).otherwise("a few words").alias("evidence_quote"), F.lit("2026-01-01").alias("source_accessed_at"), F.lit(None).cast("string").alias("source_sha256"),
+        F.when(k % 5 == 0, "open").otherwise("source_verified").alias("verification_status"),
+    )
+    types = spark.createDataFrame([("phase",), ("replaces",)], "relation_type string")
+    return layers.relation_errors(rows, types, t(spark, d, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("project_id")))
+
+
+@query("""
+select p_partkey as pair_id, case when p_partkey % 6 = 0 then 'same_identity' when p_partkey % 9 = 3 then 'distinct_entities' when p_partkey % 3 = 0 then 'unresolved' else 'distinct_entities' end as identity_class,
+  case when p_partkey % 6 = 0 or p_partkey % 9 = 3 then 'high' else 'low' end as confidence, case when p_partkey % 6 = 0 or p_partkey % 9 = 3 then 'seen' else 'base' end as rationale, p_partkey % 6 = 0 or p_partkey % 9 = 3 as overridden from part""")
+def adjudication_overrides(spark, d):
+    k = F.col("pair_id")
+    base = t(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.when(F.col("p_partkey") % 3 == 0, "unresolved").otherwise("distinct_entities").alias("identity_class"), F.lit("low").alias("confidence"), F.lit("base").alias("rationale"))
+    over = base.where((k % 6 == 0) | (k % 9 == 3)).select("pair_id", F.when(k % 6 == 0, "same_identity").otherwise("distinct_entities").alias("identity_class"), F.lit("high").alias("confidence"), F.lit("seen").alias("rationale"))
+    return layers.effective_adjudications(base, over)
+
+
+@query("""
+with x as (select doc_id as pair_id, list_filter([case when doc_id % 3 = 0 then 'other_text' end, case when doc_id % 5 = 0 then 'other_url' end, case when doc_id % 7 = 0 then 'not_literal' end], lambda e: e is not null) as errors, doc_id as document_id from documents)
+select pair_id, 'a' as side, document_id, errors from x where len(errors) > 0""")
+def adjudication_errors(spark, d):
+    docs, k = t(spark, d, "documents"), F.col("doc_id")
+    anchors = docs.select(
+        k.alias("pair_id"), F.lit("a").alias("side"), k.alias("document_id"), F.when(k % 5 == 0, "elsewhere").otherwise(F.col("source")).alias("url"), F.sha2(F.when(k % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("text_sha256"),
+        F.when(k % 7 == 0, F.lit("never \x01 in the text")).otherwise(F.left("text", F.lit(20))).alias("quote"),
+    )
+    return layers.adjudication_errors(anchors, docs.select(k.alias("document_id"), F.col("source").alias("url"), "text"))
+
+
+@query("""
+select p_partkey, 12 as start, 12 + length(p_name) as "end", upper(p_name) as fragment, 'whole_name' as method from part""")
+def literal_fragment(spark, d):
+    parts = t(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("El proyecto "), F.upper("p_name"), F.lit(", hoy")).alias("text"))
+    return parts.select("p_partkey", fragment(F.col("text"), F.col("p_name"), F.lit("hoy")).alias("x")).select("p_partkey", "x.start", "x.end", "x.fragment", "x.method")

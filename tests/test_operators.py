@@ -3,7 +3,8 @@
 import pytest
 
 from quillgraph.functions import text as X
-from quillgraph.operators import audit, conflict, evidence, geo, network, resolve
+from quillgraph.functions.fragment import folded, locate
+from quillgraph.operators import audit, conflict, evidence, geo, layers, network, resolve
 from quillgraph.operators.components import connected_components
 from quillgraph.plans import queries as plans
 from quillgraph.sources import ingest
@@ -125,3 +126,52 @@ def test_audit(spark):
     assert audit.field_names(spark.createDataFrame([], "a int, b array<struct<c:int>>").schema) == {"a", "b", "c"}
     assert audit.publication_gate("ok", rows.limit(0), rows.limit(0), {"x": ("1", "1")}, ("a", "a")) == []
     assert network.degrees(spark.createDataFrame([("x", "y", 1)], "a string, b string, weight int")).count() == 2
+
+
+def test_phase_layer(spark):
+    projects = spark.createDataFrame([(1, "Mall", "c1"), (2, "Mall Etapa II", "c1"), (3, "Centro Mall Etapa II", "c2"), (4, "Loteo Fase 1", None), (5, "Twin", "c"), (6, "Twin", "c")], "project_id long, name string, case_id string")
+    parts = spark.createDataFrame([("Mall", "Mall Etapa II"), ("Mall", "Centro Mall Etapa II"), ("Mall", "Loteo Fase 1")], "matrix string, phase string")
+    same = spark.createDataFrame([("Centro Mall Etapa II", "Mall Etapa II")], "a string, b string")
+    phases, links = layers.phase_layer(projects, parts, same)
+    assert {(r.phase_label, r.phase_number, r.case_id) for r in phases.collect()} == {("Mall Etapa II", "etapa ii", "c1"), ("Loteo Fase 1", "fase 1", None)}
+    assert sorted((r.project_id, r.relation_type) for r in links.collect()) == [(1, "has_phase"), (1, "has_phase"), (2, "same_phase_alias"), (3, "same_phase_alias"), (4, "represents_phase")]
+    for odd in (("Mall", "Twin"), ("Mall", "Nowhere")):
+        with pytest.raises(ValueError):
+            layers.phase_layer(projects, spark.createDataFrame([odd], "matrix string, phase string"), same)
+
+
+def test_overrides_fail_closed(spark):
+    schema = "pair_id string, identity_class string, confidence string, rationale string"
+    base = spark.createDataFrame([("p", "unresolved", None, None), ("q", "distinct_entities", "high", "x")], schema)
+    out = {r.pair_id: r for r in layers.effective_adjudications(base, spark.createDataFrame([("p", "same_identity", "high", "y")], schema)).collect()}
+    assert out["p"].identity_class == "same_identity" and out["p"].overridden and not out["q"].overridden and out["q"].rationale == "x"
+    for odd in (("q", "same_identity", "high", "y"), ("p", "same_identity", "medium", "y"), ("zz", "unresolved", "high", "y"), ("p", "odd", "high", "y"), ("p", None, "high", "y"), ("p", "unresolved", "high", " ")):
+        with pytest.raises(ValueError):
+            layers.effective_adjudications(base, spark.createDataFrame([odd], schema))
+
+
+def test_fragments_are_literal():
+    text = "El  proyecto «Torre  Ñuñoa-Sur», ½ cuadra de Mall Vivo"
+    assert locate(text, "torre nunoa sur") == (14, 30, "Torre  Ñuñoa-Sur", "whole_name")
+    assert locate(text, "Centro Mall Vivo", None)[2:] == ("Mall Vivo", "part_of_name")
+    assert locate(text, "Proyecto Azul") is None and locate(None, "x") is None and locate("", None) is None
+    body, at = folded(text)
+    assert len(body) == len(at) and at == sorted(at)
+
+
+def test_rank_correlation_chance(spark):
+    import math
+
+    for t in (0.0, 0.2, 1.5, 40.0):
+        assert network.t_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
+        assert network.t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
+    rows = lambda *r: network.spearman_test(spark.createDataFrame(r, "x int, y int"), "x", "y").first()
+    four = rows((1, 1), (2, 3), (3, 2), (4, 4))
+    assert four.rho == pytest.approx(0.8) and four.p == pytest.approx(0.2)
+    assert rows((1, 1), (2, 2), (3, 3)).p == pytest.approx(0.0, abs=1e-6) and rows((1, 1), (2, 2)).p is None and rows((1, 1), (1, 2), (1, 3)).p is None
+
+
+def test_review_pairs_meet_by_equality(spark):
+    names = ["abcdef", "xabcdefx", "abcdefabcdef", "abcde", "zzzzzz", None]
+    got = {(r.a, r.b) for r in resolve.review_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {("abcdef", "abcdefabcdef"), ("abcdef", "xabcdefx")}
