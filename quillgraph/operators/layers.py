@@ -142,3 +142,23 @@ def historical_references(relations: DataFrame, cases: DataFrame, aliases: DataF
 def reference_summary(references: DataFrame) -> DataFrame:
     """One row for each gone case: (historical_case_id, n, scopes, blocking)."""
     return references.groupBy("historical_case_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("impact_scope")).alias("scopes"), F.max("blocking").alias("blocking"))
+
+
+def rejoined_pairs(kept_apart: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a reviewed no-merge that ``before`` (project_id, case_id) had apart and ``after`` joins; must be empty."""
+    case = lambda rows, c, to: rows.select(F.col("project_id").alias(c), F.col("case_id").alias(to))
+    was = kept_apart.select("a", "b").join(case(before, "a", "a0"), "a").join(case(before, "b", "b0"), "b").where("a0 <> b0")
+    return was.join(case(after, "a", "a1"), "a").join(case(after, "b", "b1"), "b").where("a1 = b1").select("a", "b")
+
+
+def reconnected_homonyms(projects: DataFrame) -> DataFrame:
+    """(name_key, n_parts, n_cases) of homonyms (name_key, part, case_id) with fewer cases than reviewed partitions; must be empty."""
+    counts = projects.where("part is not null").groupBy("name_key").agg(F.countDistinct("part").alias("n_parts"), F.countDistinct("case_id").alias("n_cases"))
+    return counts.where("n_cases < n_parts")
+
+
+def resolution_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(project_id, before, after, change) of the projects whose case_id a dry run adds, removes or moves."""
+    old, new = before.select("project_id", F.col("case_id").alias("before")), after.select("project_id", F.col("case_id").alias("after"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("moved")
+    return old.join(new, "project_id", "full").where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("change", change)

@@ -541,7 +541,7 @@ def phase_links(spark, d):
 @query("""
 with r as (select 's' || s_nationkey as s, ['phase', 'replaces', 'odd'][s_suppkey % 3 + 1] as k, 's' || (s_suppkey % 30) as o, case when s_suppkey % 4 = 0 then 'http://x' when s_suppkey % 11 = 0 then ' ' else 'https://x' end as url, s_suppkey % 7 = 0 as long, s_suppkey % 5 = 0 as loose from supplier),
 n as (select s, k, o, count(*) as n from r group by all)
-select s as subject_project_id, k as relation_type, o as object_project_id, errors from (
+select s as subject_project_id, k as relation_type, o as object_project_id, array_to_string(errors, ',') as errors from (
   select s, k, o, list_filter([case when s = o then 'self' end, case when n > 1 then 'repeated' end, case when k = 'odd' then 'unknown_type' end, case when substr(o, 2)::int > 24 then 'unknown_project' end,
     case when url = ' ' then 'no_evidence_url' end, case when url = 'http://x' then 'not_https' end, case when long then 'long_quote' end, case when loose then 'not_verified' end], lambda x: x is not null) as errors from r join n using (s, k, o))
 where len(errors) > 0""")
@@ -555,7 +555,8 @@ def relation_errors(spark, d):
         F.when(k % 5 == 0, "open").otherwise("source_verified").alias("verification_status"),
     )
     types = spark.createDataFrame([("phase",), ("replaces",)], "relation_type string")
-    return layers.relation_errors(rows, types, t(spark, d, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("project_id")))
+    found = layers.relation_errors(rows, types, t(spark, d, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("project_id")))
+    return found.withColumn("errors", F.array_join("errors", ","))
 
 
 @query("""
@@ -570,18 +571,30 @@ def adjudication_overrides(spark, d):
 
 @query("""
 with x as (select doc_id as pair_id, list_filter([case when doc_id % 3 = 0 then 'other_text' end, case when doc_id % 5 = 0 then 'other_url' end, case when doc_id % 7 = 0 then 'not_literal' end], lambda e: e is not null) as errors, doc_id as document_id from documents)
-select pair_id, 'a' as side, document_id, errors from x where len(errors) > 0""")
+select pair_id, 'a' as side, document_id, array_to_string(errors, ',') as errors from x where len(errors) > 0""")
 def adjudication_errors(spark, d):
     docs, k = t(spark, d, "documents"), F.col("doc_id")
     anchors = docs.select(
         k.alias("pair_id"), F.lit("a").alias("side"), k.alias("document_id"), F.when(k % 5 == 0, "elsewhere").otherwise(F.col("source")).alias("url"), F.sha2(F.when(k % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("text_sha256"),
         F.when(k % 7 == 0, F.lit("never \x01 in the text")).otherwise(F.left("text", F.lit(20))).alias("quote"),
     )
-    return layers.adjudication_errors(anchors, docs.select(k.alias("document_id"), F.col("source").alias("url"), "text"))
+    found = layers.adjudication_errors(anchors, docs.select(k.alias("document_id"), F.col("source").alias("url"), "text"))
+    return found.withColumn("errors", F.array_join("errors", ","))
 
 
 @query("""
-select p_partkey, 12 as start, 12 + length(p_name) as "end", upper(p_name) as fragment, 'whole_name' as method from part""")
+select p_partkey, 12 as start, (12 + length(p_name))::int as "end", upper(p_name) as fragment, 'whole_name' as method from part""")
 def literal_fragment(spark, d):
     parts = t(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("El proyecto "), F.upper("p_name"), F.lit(", hoy")).alias("text"))
     return parts.select("p_partkey", fragment(F.col("text"), F.col("p_name"), F.lit("hoy")).alias("x")).select("p_partkey", "x.start", "x.end", "x.fragment", "x.method")
+
+
+@query("""
+with x as (select c_custkey as project_id, c_nationkey as before, case when c_custkey % 10 = 0 then null when c_nationkey in (3, 4) then 3 else c_nationkey end as after from customer where c_custkey % 17 > 0
+  union all select c_custkey, null, c_nationkey from customer where c_custkey % 17 = 0)
+select project_id, before, after, case when before is null then 'added' when after is null then 'removed' else 'moved' end as change from x where before is distinct from after""")
+def resolution_diff(spark, d):
+    c, k, n = t(spark, d, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    before = c.where(k % 17 > 0).select(k.alias("project_id"), n.alias("case_id"))
+    after = c.where((k % 10 > 0) | (k % 17 == 0)).select(k.alias("project_id"), F.when(n.isin(3, 4) & (k % 17 > 0), F.lit(3)).otherwise(n).alias("case_id"))
+    return layers.resolution_diff(before, after)

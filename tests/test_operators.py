@@ -175,3 +175,13 @@ def test_review_pairs_meet_by_equality(spark):
     names = ["abcdef", "xabcdefx", "abcdefabcdef", "abcde", "zzzzzz", None]
     got = {(r.a, r.b) for r in resolve.review_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got == {("abcdef", "abcdefabcdef"), ("abcdef", "xabcdefx")}
+
+
+def test_no_merge_and_homonyms(spark):
+    cases = lambda *r: spark.createDataFrame(r, "project_id string, case_id string")
+    before, after = cases(("p", "1"), ("q", "2"), ("r", "1")), cases(("p", "1"), ("q", "1"), ("r", "1"))
+    pairs = spark.createDataFrame([("p", "q"), ("p", "r")], "a string, b string")
+    assert [(r.a, r.b) for r in layers.rejoined_pairs(pairs, before, after).collect()] == [("p", "q")]
+    assert layers.rejoined_pairs(pairs, before, before).isEmpty()
+    rows = spark.createDataFrame([("k", "x", "1"), ("k", "y", "1"), ("m", "x", "1"), ("m", "y", "2"), ("n", None, "1")], "name_key string, part string, case_id string")
+    assert [(r.name_key, r.n_parts, r.n_cases) for r in layers.reconnected_homonyms(rows).collect()] == [("k", 2, 1)]
