@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import bounded_batches, materialize
+from quillgraph.llm.near_copies import near_copies
 from quillgraph.operators.components import connected_components
 
 SEED = 42
@@ -173,11 +174,12 @@ def near_duplicates(documents: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> D
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` with one document of each group: the smallest doc_id, and of its repeated rows one.
+    """The rows of ``documents`` with one document of each group of near copies: the smallest doc_id, and of its repeated rows one.
 
-    Rows without a doc_id can't stand for a group and are kept as they are.
+    Groups are those of five-word shingles at a Jaccard similarity of 0.8 (``near_copies``): fingerprints of such texts
+    differ by more bits than deletion variants reach. Rows without a doc_id can't stand for a group and are kept as they are.
     """
-    group = near_duplicates(documents.where("doc_id is not null"))
+    group = near_copies(documents.where("doc_id is not null"))
     kept = group.where("doc_id = component_id").select(F.col("doc_id").alias("__qg_kept")).distinct()
     one = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__qg_kept"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(documents.where("doc_id is null"))

@@ -131,6 +131,46 @@ def test_simhash_rows_and_keep_one(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_one_finds_near_copies_like_brute_force(spark):
+    from quillgraph.llm import near_copies
+
+    rng, texts, line = random.Random(6), [None, "", "a b", "A  b"], words(random.Random(1), 40)
+    for k in range(40):
+        base = words(rng, rng.randrange(60, 200)).split()
+        for edits in (0, 1, 1, 2, 3, 5, 8):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(99)}"
+            texts.append(" ".join(own) + (" " + line if k % 2 else ""))
+    hub = words(rng, 200).split()  # one large group of near copies
+    for k in range(40):
+        own = list(hub)
+        for _ in range(k % 7):
+            own[rng.randrange(len(own))] = f"y{k}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+
+    def split(text):
+        own = (text or "").lower().split()
+        return {" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+    parts, parent = [split(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(parts[i] & parts[j]) >= 4 * (len(parts[i]) + len(parts[j])):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i: root(i) for i in range(len(texts))}
+    table = docs(spark, texts)
+    for sweep in (near_copies.SWEEP, 3):
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(table, sweep).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(table).collect()} == set(want.values())
+    assert near_copies.near_copies(docs(spark, [])).count() == 0
+
+
 def test_url_filter_cases(spark):
     import datetime as dt
 
