@@ -2,12 +2,14 @@
 
 A classifier fitted on the labels table gives each document a posterior over domains (low quality, toxic,
 clean). Documents then get nonnegative rates whose expected domain tokens, sum over documents of rate x tokens
-x posterior, match targets in the least-squares sense. Projected gradient descent finds them: with the domain
-masses m (the totals at rate 1) as weights of the squares and the token counts as the metric, the step is
-    rate <- clip(rate - sum_k p_k (total_k - target_k) / m_k)
-whose operator has largest eigenvalue 1 (posteriors sum to one), so step length 1 always descends. One round is
-one sum over all documents; only the K totals reach the driver, and a document's rate is a function of its
-posterior and the rounds' K residuals, so rates need no state and no join.
+x posterior, match targets in the least-squares sense, with the domain masses m (the totals at rate 1) as weights of
+the squares and the token counts as the metric. Proximal steps from rate 1 find them:
+    rate <- clip(rate - sum_k p_k s_k),   s_k = (total_k - target_k) / (PROX m_k) at the new rates,
+where s solves K smooth equations that Newton steps with K x K systems find. One pass is one sum over
+all documents; only its sums of K and K x K values reach the driver, and a document's rate is a function of its
+posterior and the few steps' K values, so rates need no state and no join. The fit ends when every total is at its
+target, or, for targets that can't be met, when the duality gap bounds each total's distance from the least-squares
+solution; it raises if neither is reached.
 
 The classifier is a naive Bayes model over hashed words (``BUCKETS`` features), fitted on at most
 ``PER_LABEL`` labelled documents for each label; its log odds are averaged over the words and weighed as
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +34,20 @@ DOMAINS = ("low", "toxic", "clean")
 BUCKETS = 4096
 PER_LABEL = 5000
 WEIGHT = 48
-ROUNDS = 40
-TOLERANCE = 1e-5
-#: A round that moves no total by this share of its mass ends the fit: targets that can't be met are then as near as they get.
-STALL = 1e-4
+#: Weight of staying at the rates of the step before; it sets the number of steps, not where they lead.
+PROX = 1e-3
+#: Passes over the documents after which a fit without result raises.
+ROUNDS = 400
+#: Share of its target by which a total may miss it.
+TOLERANCE = 1e-6
+#: Share of its target by which a total may miss the least-squares solution, by a bound that is seldom tight.
+BOUND = 1e-3
+#: Unlimited rates are compared with rates of up to this in that bound.
+WIDE = 100.0
+#: A domain with a smaller share of all tokens is without mass: sums of doubles can't hold it beside the others.
+LEAST = 1e-9
+#: Reductions, by 4, of a Newton step; what is reached then is taken as the next step.
+CUTS = 8
 SHARES = {"low": 0.05, "toxic": 0.05, "clean": 0.90}
 
 
@@ -97,7 +110,7 @@ class DomainModel:
 
 
 def rate(steps: list[dict[str, float]], most: float | None = None) -> F.Column:
-    """A document's rate after the rounds' scaled residuals, from 1."""
+    """A document's rate after the steps, from 1."""
     if not steps:
         return F.lit(1.0)
     table = F.array(*(F.array(*(F.lit(float(step.get(d, 0.0))) for d in DOMAINS)) for step in steps))
@@ -111,26 +124,74 @@ def rate(steps: list[dict[str, float]], most: float | None = None) -> F.Column:
 
 
 def fit_rates(members: DataFrame, targets, most: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[dict[str, float]]:
-    """The rounds' steps that lead to the targets. ``targets`` maps the domain masses to target totals; ``members`` is materialised (_tokens, _p_*)."""
+    """The steps that lead to the targets. ``targets`` maps the domain masses to target totals; ``members`` is materialised (_tokens, _p_*)."""
     masses = members.agg(*(F.sum(F.col("_tokens") * F.col(f"_p_{d}")).alias(d) for d in DOMAINS)).first().asDict()
-    live = [d for d in DOMAINS if (masses[d] or 0) > 0]
+    live = [d for d in DOMAINS if (masses[d] or 0) > LEAST * sum(m or 0 for m in masses.values())]
     goal = targets({d: masses[d] or 0.0 for d in DOMAINS})
+    mass, aim = np.array([masses[d] for d in live]), np.array([goal[d] for d in live])
+    own = np.where(aim > 0, aim, mass)
     steps: list[dict[str, float]] = []
-    totals, before = masses, None
-    for _ in range(rounds):
-        if max((abs(totals[d] - goal[d]) / masses[d] for d in live), default=0.0) < tolerance:
+    passes = 0
+    while live:
+        totals, off = _distance(members, steps, most, live, mass, aim)
+        passes += 1
+        if (np.abs(totals - aim) <= tolerance * own).all() or (off <= BOUND * own).all():
             break
-        if before and max(abs(totals[d] - before[d]) / masses[d] for d in live) < STALL:
-            break
-        before = totals
-        steps.append({d: (totals[d] - goal[d]) / masses[d] for d in live})
-        totals = _totals(members, steps, most, live)
+        at, cuts = np.zeros(len(live)), 0
+        value, slope, curve = _dual(members, steps, most, live, mass, aim, at)
+        step = np.linalg.solve(curve, -slope)
+        passes += 1
+        while cuts <= CUTS and (np.abs(slope) > tolerance / 10 * own).any():
+            if passes >= rounds:
+                raise RuntimeError(f"rates did not settle in {rounds} passes")
+            tried = _dual(members, steps, most, live, mass, aim, at + step)
+            passes += 1
+            if tried[0] <= value + 1e-4 * float(slope @ step) or np.abs(tried[1] / own).max() < 0.5 * np.abs(slope / own).max():
+                at, (value, slope, curve), cuts = at + step, tried, 0
+                step = np.linalg.solve(curve, -slope)
+            else:
+                step, cuts = step / 4, cuts + 1
+        if passes >= rounds:
+            raise RuntimeError(f"rates did not settle in {rounds} passes")
+        steps.append(dict(zip(live, at.tolist(), strict=True)))
     return steps
 
 
-def _totals(members: DataFrame, steps: list[dict[str, float]], most: float | None, live: list[str]) -> dict[str, float]:
-    weighed = members.withColumn("_w", rate(steps, most) * F.col("_tokens"))
-    return weighed.agg(*(F.sum(F.col("_w") * F.col(f"_p_{d}")).alias(d) for d in live)).first().asDict()
+def _clipped(z: F.Column, most: float | None) -> F.Column:
+    return F.least(F.lit(math.inf if most is None else float(most)), F.greatest(F.lit(0.0), z))
+
+
+def _weighed(values: np.ndarray, live: list[str]) -> F.Column:
+    return sum((F.col(f"_p_{d}") * float(v) for d, v in zip(live, values, strict=True)), F.lit(0.0))
+
+
+def _distance(members: DataFrame, steps: list[dict[str, float]], most: float | None, live: list[str], mass: np.ndarray, aim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The totals, and by domain a bound of their distance from the least-squares solution (the root of twice the duality gap)."""
+    rated = members.where("_tokens > 0").withColumn("_w", rate(steps, most))
+    totals = np.array(rated.agg(*(F.sum(F.col("_w") * F.col("_tokens") * F.col(f"_p_{d}")) for d in live)).first(), float)
+    slope = _weighed((totals - aim) / mass, live)
+    room = F.lit(WIDE if most is None else float(most)) - F.col("_w")
+    gap = rated.agg(F.sum(F.col("_tokens") * F.when(slope > 0, slope * F.col("_w")).otherwise(-slope * F.greatest(F.lit(0.0), room)))).first()[0]
+    return totals, np.sqrt(2 * max(gap, 0.0) * mass)
+
+
+def _dual(members: DataFrame, steps: list[dict[str, float]], most: float | None, live: list[str], mass: np.ndarray, aim: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, slope and curvature at ``at`` of the convex function whose minimum is the next step."""
+    rated = members.where("_tokens > 0").withColumn("_z", rate(steps, most) - _weighed(at, live)).withColumn("_w", _clipped(F.col("_z"), most))
+    inner = F.when(F.col("_z") == F.col("_w"), F.col("_tokens")).otherwise(0.0)
+    pairs = [(i, j) for i in range(len(live)) for j in range(i + 1)]
+    p = [F.col(f"_p_{d}") for d in live]
+    row = rated.agg(
+        F.sum(F.col("_tokens") * (F.col("_z") * F.col("_w") - F.col("_w") * F.col("_w") / 2)),
+        *(F.sum(F.col("_tokens") * F.col("_w") * c) for c in p),
+        *(F.sum(inner * p[i] * p[j]) for i, j in pairs),
+    ).first()
+    k = len(live)
+    curve = np.diag(PROX * mass)
+    for (i, j), v in zip(pairs, row[1 + k :], strict=True):
+        curve[i, j] += v
+        curve[j, i] = curve[i, j]
+    return row[0] + float(at @ aim) + PROX / 2 * float(mass @ at**2), aim + PROX * mass * at - np.array(row[1 : 1 + k], float), curve
 
 
 def by_shares(shares: dict[str, float] = SHARES):

@@ -230,6 +230,42 @@ def test_mixing_meets_targets(spark):
     assert 100 < kept.count() <= 202 and kept.columns == docs(spark, []).columns
 
 
+def nnls(p, tokens, mass, aim, most, rounds=200_000):
+    """Totals at the least-squares solution, by projected gradient steps with momentum and restarts."""
+    w = y = np.ones(len(tokens))
+    t = 1.0
+    for _ in range(rounds):
+        new = np.clip(y - p @ ((p.T @ (y * tokens) - aim) / mass), 0, most)
+        if np.dot((y - new) * tokens, new - w) > 0:
+            t = 1.0
+        u = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        y, w, t = new + (t - 1) / u * (new - w), new, u
+    return p.T @ (w * tokens)
+
+
+@pytest.mark.parametrize(("factors", "most", "met"), [((0.5, 0.83, 1.07), None, True), ((0.5, 0.5, 1.0), 1.0, False), ((3.0, 0.0, 0.1), 2.0, False)])
+def test_rates_equal_brute_force(spark, factors, most, met):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet((0.1, 0.1, 0.8), 300)
+    p, tokens = np.concatenate([p, p * 0.05 + np.array([0.0, 0.0, 0.95])]), rng.integers(0, 400, 600).astype(float)
+    members = mixing.materialize(spark.createDataFrame([(float(t), *map(float, q)) for t, q in zip(tokens, p, strict=True)], "_tokens double, _p_low double, _p_toxic double, _p_clean double"))
+    mass = p.T @ tokens
+    aim = mass * np.array(factors)
+    steps = mixing.fit_rates(members, mixing.by_factors(dict(zip(mixing.DOMAINS, factors, strict=True))), most)
+    rows = np.array([tuple(r) for r in members.select("_tokens", "_p_low", "_p_toxic", "_p_clean", mixing.rate(steps, most).alias("w")).collect()])
+    got = rows[:, 1:4].T @ (rows[:, 0] * rows[:, 4])
+    want = nnls(p, tokens, mass, aim, np.inf if most is None else most, 20_000)
+    assert (np.abs(want - aim) < 1e-4 * mass).all() == met
+    assert (np.abs(got - want) <= (1e-5 if met else 1e-3) * np.where(aim > 0, aim, mass)).all()
+    assert rows[:, 4].min() >= 0 and (most is None or rows[:, 4].max() <= most)
+
+
+def test_rates_that_do_not_settle_raise(spark):
+    members = mixing.materialize(spark.createDataFrame([(10.0, 0.2, 0.3, 0.5), (20.0, 0.1, 0.1, 0.8), (5.0, 0.7, 0.2, 0.1)], "_tokens double, _p_low double, _p_toxic double, _p_clean double"))
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(members, mixing.by_factors({"low": 0.5, "toxic": 0.5, "clean": 1.0}), rounds=2)
+
+
 def test_quality_held_out(spark):
     d, lab = (spark.read.parquet(f"{DATA}/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     net = quality.train(d, lab)
