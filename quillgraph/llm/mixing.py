@@ -123,10 +123,10 @@ def rate(steps: list[dict[str, float]], most: float | None = None) -> F.Column:
     return F.when(F.col("_tokens") > 0, F.aggregate(table, F.lit(1.0), round_of)).otherwise(1.0)
 
 
-def fit_rates(members: DataFrame, targets, most: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[dict[str, float]]:
-    """The steps that lead to the targets. ``targets`` maps the domain masses to target totals; ``members`` is materialised (_tokens, _p_*)."""
+def fit_rates(members: DataFrame, targets, most: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, domains: tuple[str, ...] = DOMAINS) -> list[dict[str, float]]:
+    """The steps that lead to the targets. ``targets`` maps the domain masses to target totals, of which those of ``domains`` count; ``members`` is materialised (_tokens, _p_*)."""
     masses = members.agg(*(F.sum(F.col("_tokens") * F.col(f"_p_{d}")).alias(d) for d in DOMAINS)).first().asDict()
-    live = [d for d in DOMAINS if (masses[d] or 0) > LEAST * sum(m or 0 for m in masses.values())]
+    live = [d for d in domains if (masses[d] or 0) > LEAST * sum(m or 0 for m in masses.values())]
     goal = targets({d: masses[d] or 0.0 for d in DOMAINS})
     mass, aim = np.array([masses[d] for d in live]), np.array([goal[d] for d in live])
     own = np.where(aim > 0, aim, mass)
@@ -211,11 +211,26 @@ def mix(documents: DataFrame, labels: DataFrame, targets=None, most: float | Non
     return members.select("doc_id", F.col("_tokens").cast("long").alias("n_words"), *(F.col(f"_p_{d}").alias(f"p_{d}") for d in DOMAINS), rate(steps, most).alias("rate"))
 
 
+def thinned(members: DataFrame, factors: dict[str, float]) -> tuple[F.Column, F.Column]:
+    """Whether a document may go, and its rate.
+
+    A document belongs to the domain of its largest posterior, the later of equals. Documents of a domain with a
+    factor of 1 or more stay. Over the others, rates of 1 or less bring the totals of the remaining domains to
+    their factors; what these documents hold of the kept domains has no target.
+    """
+    cut = tuple(d for d in DOMAINS if factors[d] < 1)
+    largest = F.greatest(*(F.col(f"_p_{d}") for d in DOMAINS))
+    own = F.coalesce(*(F.when(F.col(f"_p_{d}") == largest, d) for d in reversed(DOMAINS)))
+    free = own.isin(*cut) & (F.col("_tokens") > 0)
+    steps = fit_rates(members.where(free), by_factors(factors), most=1.0, domains=cut)
+    return free, F.when(free, rate(steps, 1.0)).otherwise(1.0)
+
+
 def thin(documents: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFrame:
-    """The rows of ``documents`` that stay when domains are thinned by ``factors``: rates are held at 1 or less, and a row stays with its rate as probability, drawn by a hash of the row."""
+    """The rows of ``documents`` that stay when domains are thinned by ``factors``: a row stays with its rate as probability, drawn by a hash of the row."""
     members = DomainModel.fit(documents, labels).members(documents)
-    steps = fit_rates(members, by_factors(factors), most=1.0)
+    free, share = thinned(members, factors)
     draw = F.pmod(F.xxhash64("doc_id", "_of", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
-    gone = members.where(draw >= rate(steps, 1.0)).select(F.col("doc_id").alias("__qg_id"), F.col("_of").alias("__qg_gone")).distinct()
+    gone = members.where(free & (draw >= share)).select(F.col("doc_id").alias("__qg_id"), F.col("_of").alias("__qg_gone")).distinct()
     same = documents["doc_id"].eqNullSafe(F.col("__qg_id")) & F.xxhash64(documents["text"]).eqNullSafe(F.col("__qg_gone"))
     return documents.join(gone, same, "left_anti")

@@ -266,6 +266,21 @@ def test_rates_that_do_not_settle_raise(spark):
         mixing.fit_rates(members, mixing.by_factors({"low": 0.5, "toxic": 0.5, "clean": 1.0}), rounds=2)
 
 
+def test_thinning_keeps_clean_documents(spark):
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.dirichlet(a, 200) for a in ((1, 6, 7), (1, 8, 4), (6, 1, 3), (0.1, 0.1, 4))])
+    tokens = rng.integers(1, 300, len(p)).astype(float)
+    members = mixing.materialize(spark.createDataFrame([(float(t), *map(float, q)) for t, q in zip(tokens, p, strict=True)], "_tokens double, _p_low double, _p_toxic double, _p_clean double"))
+    _, share = mixing.thinned(members, {"low": 0.5, "toxic": 0.5, "clean": 1.0})
+    rows = np.array([tuple(r) for r in members.select("_tokens", "_p_low", "_p_toxic", "_p_clean", share.alias("w")).collect()])
+    clean = rows[:, 1:4].argmax(1) == 2
+    assert 200 < clean.sum() < 600 and (rows[clean, 4] == 1).all()
+    own = rows[~clean]
+    for k in (1, 2):
+        assert abs((own[:, 4] * own[:, 0] * own[:, k]).sum() / (own[:, 0] * own[:, k]).sum() - 0.5) < 1e-5
+    assert own[:, 4].max() <= 1 and own[:, 4].min() >= 0
+
+
 def test_quality_held_out(spark):
     d, lab = (spark.read.parquet(f"{DATA}/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     net = quality.train(d, lab)
