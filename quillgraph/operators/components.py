@@ -1,37 +1,55 @@
 """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
 Every round is a handful of equi-joins and map-side combined minima; lineage is cut by a checkpoint per
-round, and only two numbers per round reach the driver.
+round, and only a few numbers per round reach the driver. Rounds end when every component is a star, so a graph
+of stars (a leader and its members) takes none. The neighbourhood of a hub is not gathered: in the one join of a
+round, nodes with many neighbours are broadcast (``skew``).
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.skew import join_frequent
+
+CHECKPOINT_KEY = "spark.checkpoint.dir"
+
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that ``spark.checkpoint.dir`` names; there must be one."""
+    session = df.sparkSession
+    if not session.sparkContext.getCheckpointDir():
+        folder = session.conf.get(CHECKPOINT_KEY, None)
+        if not folder:
+            raise RuntimeError(f"{CHECKPOINT_KEY} is not set: name a folder that the driver and all executors share")
+        session.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Of each node's neighbours, the larger ones are tied to the smallest of node and neighbours."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    return both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+    low = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("low"), F.count(F.lit(1)).alias("n"))
+    # a node's larger neighbours have it as their smaller end, so each edge is looked at from there
+    tied = join_frequent(edges.select(F.col("dst").alias("src"), F.col("src").alias("far")), low, "src", "n", 2 * total)
+    return tied.select(F.col("far").alias("src"), F.col("low").alias("dst")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Of each node's smaller neighbours, all and the node itself are tied to the smallest."""
-    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    low = down.groupBy("src").agg(F.min("dst").alias("low"))
-    tied = down.join(low, "src")
-    return tied.select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
+    low = edges.groupBy("src").agg(F.min("dst").alias("low"))
+    # ties of a node to several smaller ones are few after a large star, where each has one
+    tied = edges.join(low, "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    return tied.unionByName(low.select("src", F.col("low").alias("dst"))).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes that keep them from being stars: those below two others, or below one and above another."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    row = nodes.agg(F.sum("below"), F.count(F.when((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0)), 1))).first()
+    return row[0] or 0, row[1]
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
@@ -41,17 +59,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     ``nodes`` (node) adds nodes without edges. Without ``nodes`` only the ends of edges are returned.
     """
     kind = edges.schema["src"].dataType
-    current = _checkpoint(
+    current = materialize(
         edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     )
-    state = None
     for _ in range(max_rounds):
-        current = _checkpoint(_small_star(_large_star(current)))
-        row = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-        now = (row["n"], row["h"])
-        if now == state:
+        total, rest = _state(current)
+        if not rest:
             break
-        state = now
+        current = materialize(_small_star(_large_star(current, total)))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
