@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from quillgraph.operators.components import CHECKPOINT_KEY, materialize  # noqa: F401
+
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of texts that a Python worker is handed at once.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (unit tests on one machine) a
-    temporary folder is created and remembered in the SparkContext.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if found:
-        return found.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; there must be one."""
+    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise RuntimeError(f"{CHECKPOINT_KEY} is not set: name a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -35,10 +27,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a replicated checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,16 +57,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, column: str, per_va
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def bounded_batches(documents: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
-    """``documents``, whose session now hands its rows to Python in batches of at most ``most`` bytes (a longer row alone).
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session hands rows to Python in batches of at most ``most`` bytes (a longer row alone); a smaller bound is kept.
 
-    Spark's own bound is 10,000 rows or 64 MB, held by the JVM and the worker of every task. A smaller bound is kept.
+    Spark's own bound is 10,000 rows or 64 MB, held by the JVM and the worker of every task. Operators work with any
+    bound; small executors need a smaller one. It is the session's setting, so queries make it, not operators.
     """
-    conf = documents.sparkSession.conf
-    now = int((conf.get(BATCH_KEY, None) or "-1").removesuffix("b"))
+    now = int((spark.conf.get(BATCH_KEY, None) or "-1").removesuffix("b"))
     if not 0 < now <= most:
-        conf.set(BATCH_KEY, str(most))
-    return documents
+        spark.conf.set(BATCH_KEY, str(most))
 
 
 def utf8(value: str | None) -> bytes:

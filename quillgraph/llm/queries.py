@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import ann, decontaminate, line_dedup, mixing, quality, simhash, token_count, token_store, url_filter, warc
-from quillgraph.llm.common import read
+from quillgraph.llm.common import bound_batches, read
 
 
 def tokenizer(name: str) -> str:
@@ -148,7 +150,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (op1_decontaminate, op2_token_count, op3_simhash, op4_url_filter, op5_warc, op6_mixing, op7_quality, op8_ann, op9_line_dedup, op10_token_ids)
-    return {f.__name__: f for f in own}
+    return {f.__name__: _bounded(f) for f in own}
+
+
+def _bounded(query):
+    """The query in a session whose batches for Python are bounded."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

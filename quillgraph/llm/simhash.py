@@ -7,10 +7,11 @@ variants (catching pairs whose upper halves differ by 0 or 1 bit); if the upper
 lower ones are equal, so the lower segment is indexed once as it is. Buckets are equality groups over those
 33 keys, and every link is verified on the whole fingerprints.
 
-Work is on distinct fingerprints, so exact copies cost nothing. Buckets of one fingerprint are dropped after
-a map-side combined count; buckets up to ``BUCKET_LIMIT`` are searched breadth-first for a spanning forest
-(never all pairs); larger ones are cut again by two-wildcard variants of their remaining bits, an exact
-path whose cost is linear in the bucket.
+Work is on distinct fingerprints, so exact copies cost nothing. Variants are sorted by key once and buckets read
+from that stream; up to ``BUCKET_LIMIT`` members are searched breadth-first for a spanning forest (never all
+pairs). Larger buckets are cut again by two-wildcard variants of their remaining bits, an exact path: a member
+has 528 such variants in each large bucket (at most 17,424 in all 33, if a family shares a half), whatever the
+bucket's size.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like any
 other; repeated rows each get a result row; a null doc_id keeps its row and takes the component of its
@@ -27,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches, materialize
+from quillgraph.llm.common import materialize
 from quillgraph.llm.near_copies import near_copies
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.skew import join_frequent
 
 SEED = 42
 SHINGLE = 3
@@ -67,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp long) of each row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded_batches(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _variants(fp: F.Column) -> F.Column:
@@ -93,59 +95,85 @@ def forest(members: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the buckets in a batch, as a forest over the batch (a union-find drops what is implied)."""
-    for batch in batches:
-        lists = batch.column("members")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-        bucket, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
-        pairs = []
-        small = size <= SWEEP
-        a, b = flat[small], bucket[small]
-        for d in range(1, min(SWEEP, int(sizes.max(initial=0)))):
-            if len(a) <= d:
-                break
-            hit = (b[d:] == b[:-d]) & (np.bitwise_count(a[d:] ^ a[:-d]) <= MAX_BITS)
-            pairs.append(np.stack([a[d:][hit], a[:-d][hit]], 1))
-        ends = np.cumsum(sizes)
-        for i in np.flatnonzero(sizes > SWEEP):
-            if links := forest(flat[ends[i] - sizes[i] : ends[i]]):
-                pairs.append(np.array(links, np.uint64))
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
-        parent: dict[int, int] = {}
-
-        def root(x: int, parent: dict[int, int] = parent) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
-        kept = []
-        for u, v in found.tolist():
-            ru, rv = root(u), root(v)
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-                kept.append((u, v))
-        out = np.array(kept, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["src", "dst"])
+def _bucket_links(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Links within buckets of the sizes, one after another in ``flat``, as a forest over all of them (a union-find drops what is implied)."""
+    bucket, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+    pairs = []
+    small = size <= SWEEP
+    a, b = flat[small], bucket[small]
+    for d in range(1, min(SWEEP, int(sizes.max(initial=0)))):
+        if len(a) <= d:
+            break
+        hit = (b[d:] == b[:-d]) & (np.bitwise_count(a[d:] ^ a[:-d]) <= MAX_BITS)
+        pairs.append(np.stack([a[d:][hit], a[:-d][hit]], 1))
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > SWEEP):
+        if links := forest(flat[ends[i] - sizes[i] : ends[i]]):
+            pairs.append(np.array(links, np.uint64))
+    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.uint64)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for u, v in found.tolist():
+        ru, rv = root(u), root(v)
+        if ru != rv:
+            parent[max(ru, rv)] = min(ru, rv)
+            kept.append((u, v))
+    return np.array(kept, np.uint64).reshape(-1, 2)
+
+
+def _searched(limit: int):
+    """From (key, fp) sorted by key: the links within buckets as (null, src, dst), and the members of buckets over the limit as (key, fp, null)."""
+
+    def links_of(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(key)])
+        of = np.repeat(sizes, sizes)
+        out = _bucket_links(fp[of <= limit], sizes[sizes <= limit]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.array(out[:, 0]), pa.array(out[:, 1])], ["key", "src", "dst"])
+        if (of > limit).any():
+            yield members(key[of > limit], fp[of > limit])
+
+    def members(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.nulls(len(key), pa.int64())], ["key", "src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, large = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        for batch in batches:
+            k, f = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if large is not None:  # a bucket over the limit is passed on as it comes
+                more = int(np.searchsorted(k, large, "right"))
+                if more:
+                    yield members(k[:more], f[:more])
+                k, f = k[more:], f[more:]
+            if not len(k):
+                continue
+            key, fp, large = np.concatenate([key, k]), np.concatenate([fp, f]), None
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            yield from links_of(key[:cut], fp[:cut])
+            key, fp = key[cut:], fp[cut:]
+            if len(key) > limit:
+                yield members(key, fp)
+                key, fp, large = key[:0], fp[:0], int(key[0])
+        yield from links_of(key, fp)
+
+    return run
 
 
 def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(src, dst) links that connect what is within two bits, from distinct ``fp``."""
-    variants = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    counted = materialize(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    usual = (
-        variants.join(counted.where(F.col("n") <= bucket_limit), "key")
-        .groupBy("key")
-        .agg(F.collect_list("fp").alias("members"))
-        .select("members")
-        .mapInArrow(_links, "src long, dst long")
-    )
-    hot = counted.where(F.col("n") > bucket_limit)
-    if hot.isEmpty():
-        return usual
-    return usual.unionByName(_hot_links(variants.join(hot, "key").select("key", "fp")))
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes of fingerprints become 33 times as many: they are spread before
+    variants = prints.repartition(n, "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
+    found = materialize(variants.repartition("key").sortWithinPartitions("key").mapInArrow(_searched(bucket_limit), "key long, src long, dst long"))
+    usual, hot = found.where("key is null").select("src", "dst"), found.where("key is not null").select("key", F.col("src").alias("fp"))
+    return usual if hot.isEmpty() else usual.unionByName(_hot_links(hot))
 
 
 def _hot_links(members: DataFrame) -> DataFrame:
@@ -164,13 +192,14 @@ def _hot_links(members: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``documents``."""
     prints = materialize(fingerprints(documents))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     edges = materialize(links(distinct.select("fp"), bucket_limit).distinct())
     groups = connected_components(edges)
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("component")))
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    total = prints.count()
+    of = join_frequent(named, smallest, "component", "members", total).select("fp", "copies", "component_id")
+    return join_frequent(prints, of, "fp", "copies", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
