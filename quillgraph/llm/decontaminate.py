@@ -2,15 +2,15 @@
 
 An item is found in a document that contains at least ``CONTAINMENT`` = 0.8 of the item's distinct shingles of
 five words. Items are partitioned by size (number of distinct shingles, classes growing by ``GROWTH``). Each
-class keeps for its items a bottom-k MinHash sketch, the k smallest values of one hash over the item's
-shingles. A banded Jaccard index loses a 30-word item in a 20,000-word document (Jaccard 0.001), so the class
+class has an index of its own over its items' bottom-k MinHash sketches, the k smallest values of one hash over
+an item's shingles; a document probes only the classes of which it is large enough to hold an item. A banded Jaccard index loses a 30-word item in a 20,000-word document (Jaccard 0.001), so the class
 fixes k from its largest size u instead: k = floor(0.2 u) + 1. A document that holds 0.8 of an item lacks at
 most floor(0.2 n) of its shingles and so holds at least one of the k: no match is lost, whatever the
 document's length. Documents too small for an item (fewer than 0.8 n shingles) are skipped, and each
 candidate is verified on the words themselves.
 
-Documents are read once and nothing is shuffled. The items are broadcast in blocks of bounded size; larger
-benchmarks take several passes, one for each block.
+Documents are read once and nothing is shuffled. The items are broadcast in blocks of bounded size; a benchmark
+of several blocks takes as many passes over the documents, whose results are put together.
 
 Words are the runs of letters, digits, underscores and non-ASCII characters of the lower-cased text. Defined
 results: null or word-less texts match nothing; a text of one to four words has its whole sequence as its only
@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import bounded_batches
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -104,8 +103,30 @@ def shingle_hashes(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np
     return (np.concatenate(hashes), np.concatenate(owner), counts) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64), counts)
 
 
+class SizeClass:
+    """The bottom-k sketches of the items of one size class: k is fixed by the class's largest size."""
+
+    def __init__(self, largest: int, items: list[int], own: list[np.ndarray], need: int, containment: float):
+        self.k, self.need = math.floor((1 - containment) * largest + 1e-9) + 1, need
+        sketches = [hashes[: self.k] for hashes in own]
+        flat, item = np.concatenate(sketches), np.repeat(items, [len(x) for x in sketches])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.item = flat[order], item[order]
+
+    def probe(self, hashes: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) of the hashes that are in an item's sketch."""
+        low, high = np.searchsorted(self.flat, hashes, "left"), np.searchsorted(self.flat, hashes, "right")
+        return {(int(owner[i]), int(self.item[j])) for i in np.flatnonzero(high > low) for j in range(low[i], high[i])}
+
+
+def size_class(n: int) -> int:
+    """The largest size of the class that items of n shingles are in."""
+    c = math.ceil(math.log(max(1, n), GROWTH) - 1e-9)
+    return max(n, math.floor(GROWTH**c))
+
+
 class Sketches:
-    """The size-partitioned bottom-k sketches of a block of items."""
+    """The indexes of a block of items, one for each size class."""
 
     def __init__(self, items: list[tuple[int, str | None]], containment: float = CONTAINMENT, k: int = SHINGLE):
         self.k, self.containment = k, containment
@@ -114,28 +135,27 @@ class Sketches:
         self.need = [max(1, math.ceil(containment * len(s) - 1e-9)) for s in self.shingles]
         hashes, owner, _ = shingle_hashes([(t or "").lower().encode("utf-8", "surrogatepass") for _, t in items], k) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
         order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
-        keys, of = [], []
-        cuts = np.searchsorted(owner, np.arange(len(items) + 1))
-        for i in range(len(items)):
-            own = np.unique(hashes[cuts[i] : cuts[i + 1]])
-            largest = max(len(own), math.ceil(GROWTH ** math.ceil(math.log(max(1, len(own)), GROWTH))))  # of the size class
-            sketch = own[: math.floor((1 - containment) * largest + 1e-9) + 1]
-            keys.append(sketch)
-            of.append(np.full(len(sketch), i))
-        flat, item = (np.concatenate(keys), np.concatenate(of)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.item = flat[order], item[order]
+        cuts = np.searchsorted(owner[order], np.arange(len(items) + 1))
+        own = [np.unique(hashes[order][cuts[i] : cuts[i + 1]]) for i in range(len(items))]
+        members: dict[int, list[int]] = {}
+        for i, found in enumerate(own):
+            if len(found):
+                members.setdefault(size_class(len(self.shingles[i])), []).append(i)
+        self.classes = [SizeClass(u, of, [own[i] for i in of], min(self.need[i] for i in of), containment) for u, of in sorted(members.items())]
         self.filter = np.zeros(1 << 22, bool)
-        self.filter[self.flat >> np.uint64(42)] = True
+        for c in self.classes:
+            self.filter[c.flat >> np.uint64(42)] = True
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(text, item, shared shingles) of the matches among lower-cased texts."""
+        """(text, item, shared shingles) of the matches among lower-cased texts; a text probes the classes of which it can hold an item."""
         hashes, owner, counts = shingle_hashes(texts, self.k)
         maybe = self.filter[hashes >> np.uint64(42)]
         hashes, owner = hashes[maybe], owner[maybe]
-        low, high = np.searchsorted(self.flat, hashes, "left"), np.searchsorted(self.flat, hashes, "right")
-        found = {(int(owner[i]), int(self.item[j])) for i in np.flatnonzero(high > low) for j in range(low[i], high[i])}
+        room = np.maximum(1, counts - self.k + 1)[owner]  # shingles of the text, repeats included
+        found = set()
+        for c in self.classes:
+            large = room >= c.need
+            found |= c.probe(hashes[large], owner[large])
         last, own = -1, set()
         for text, item in sorted(found):
             if max(1, counts[text] - self.k + 1) < self.need[item]:
@@ -191,7 +211,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, containment: float =
                 share = pa.array([f[2] / f[3] for f in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*columns, share], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        part = bounded_batches(docs).mapInArrow(search, schema)
+        part = docs.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -209,5 +229,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, containment: f
                     clean[[first + t for t, _, _ in held.value.search(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = bounded_batches(out).mapInArrow(keep, documents.schema)
+        out = out.mapInArrow(keep, documents.schema)
     return out
