@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.functions.fragment import fragment
-from quillgraph.operators import audit, conflict, evidence, geo, layers, network, present, resolve
+from quillgraph.operators import audit, conflict, evidence, geo, layers, nested, network, present, resolve
 from quillgraph.operators.components import connected_components
 from quillgraph.sources import ingest
 from quillgraph.streaming import resume
@@ -48,15 +48,16 @@ def quote_literal_hits(spark, d):
 
 
 @query(f"""
-with q as (select doc_id, source, {TEXT} as body, text, split_part(text, chr(10), 1) as first, left(text, 40) as loud, case when doc_id % 2 = 0 then left(text, 30) else 'never in the text' end as none from documents d),
-f as (select source, list_transform([first, loud, none], lambda q: length(trim(q, ' ')) >= 15 and contains(body, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')))) as flags from q)
-select source, count(*)::bigint as n, count_if(list_contains(flags, true))::bigint as n_sufficient,
+with q as (select doc_id, source, {TEXT} as body, list_concat(string_split(text, chr(10)), [case when doc_id % 2 = 0 then left(text, 30) else 'never in the text' end]) as quotes from documents d),
+f as (select source, list_transform(quotes, lambda q: length(regexp_replace(q, '^\\s+|\\s+$', '', 'g')) >= 15 and contains(body, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')))) as flags from q)
+select source, count(*)::bigint as n, sum(len(list_filter(flags, lambda f: f)))::bigint as n_flags, count_if(list_contains(flags, true))::bigint as n_sufficient,
        count_if(list_contains(flags, true) and not list_contains(flags, false))::bigint as n_valid from f group by source""")
 def quote_flags_summary(spark, d):
     docs = t(spark, d, "documents")
-    quotes = F.array(F.split("text", "\n")[0], F.substring("text", 1, 40), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30)).otherwise("never in the text"))
+    quotes = F.concat(F.split("text", "\n"), F.array(F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30)).otherwise("never in the text")))
     rows = docs.select("source", evidence.quote_flags(quotes, F.col("text")).alias("flags"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(evidence.sufficient(F.col("flags"))).alias("n_sufficient"), F.count_if(evidence.contract_valid(F.col("flags"))).alias("n_valid"))
+    f = F.col("flags")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.filter("flags", lambda x: x))).alias("n_flags"), F.count_if(evidence.sufficient(f)).alias("n_sufficient"), F.count_if(evidence.contract_valid(f)).alias("n_valid"))
 
 
 @query("""
@@ -78,8 +79,7 @@ def doc_eligibility(spark, d):
 select sha256(text) as text_hash, count(*)::bigint as group_size, min(doc_id) as canonical, count(distinct source) > 1 as mixed
 from documents group by 1 having count(*) > 1""")
 def exact_duplicate_groups(spark, d):
-    g = t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text_hash"))
-    return g.agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("canonical"), (F.countDistinct("source") > 1).alias("mixed")).where("group_size > 1")
+    return conflict.exact_groups(t(spark, d, "documents").withColumn("text_hash", F.sha2("text", 256)), "text_hash", "doc_id", "source")
 
 
 @query("""
@@ -109,15 +109,32 @@ def decision_priority(spark, d):
     return evidence.best_decision(docs.join(t(spark, d, "labels"), "doc_id").withColumn("decision", decision), docs, "source")
 
 
-@query("""
-with m as (select p_name as name, p_brand as document_id, p_name as key from part),
-n as (select key, name, count(*) as n from m group by 1, 2)
-select m.key, count(distinct document_id)::bigint as n_documents, count(*)::bigint as n_mentions, any_value(m.name) as canonical_name,
-       substr(sha256('project|' || m.key), 1, 24) as project_id
-from m group by m.key""")
+PARTS_SQL = """
+with m as (select case p_partkey % 4 when 0 then upper(p_name) when 1 then 'El Proyecto ' || p_name when 2 then p_name || '.' else p_name end as name, p_brand as document_id, p_name as key from part)"""
+
+
+def _part_mentions(spark, d):
+    k, n = F.col("p_partkey") % 4, F.col("p_name")
+    name = F.when(k == 0, F.upper(n)).when(k == 1, F.concat(F.lit("El Proyecto "), n)).when(k == 2, F.concat(n, F.lit("."))).otherwise(n)
+    return t(spark, d, "part").select(name.alias("name"), F.col("p_brand").alias("document_id"))
+
+
+@query(PARTS_SQL + """,
+l as (select key, name, row_number() over (partition by key order by count(*) desc, length(name), name) as r, count(*) as n from m group by 1, 2)
+select m.key, count(distinct document_id)::bigint as n_documents, count(*)::bigint as n_mentions, any_value(l.name) as canonical_name, substr(sha256('project|' || m.key), 1, 24) as project_id
+from m join l on l.key = m.key and l.r = 1 group by m.key""")
 def project_registry(spark, d):
-    parts = t(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("document_id"))
-    return resolve.registry(parts).select("key", "n_documents", "n_mentions", "canonical_name", "project_id")
+    return resolve.registry(_part_mentions(spark, d)).select("key", "n_documents", "n_mentions", "canonical_name", "project_id")
+
+
+@query(PARTS_SQL + """,
+h as (select *, key || case when key like 'red %' and document_id in ('Brand#1', 'Brand#2') then '#one' when key like 'red %' and document_id = 'Brand#3' then '#two' else '' end as full_key from m)
+select full_key as key, any_value(key) as normalized_name, case when any_value(key) in (select key from m where key like 'red %' and document_id in ('Brand#1', 'Brand#2', 'Brand#3')) then coalesce(nullif(split_part(full_key, '#', 2), ''), 'sin_particion') end as homonym_partition, count(*)::bigint as n_mentions from h group by 1""")
+def homonym_partitions(spark, d):
+    rows = _part_mentions(spark, d)
+    red = rows.select(X.norm_name(F.col("name")).alias("key"), "document_id").distinct().where("key like 'red %' and document_id in ('Brand#1', 'Brand#2', 'Brand#3')")
+    splits = red.withColumn("part", F.when(F.col("document_id") == "Brand#3", "two").otherwise("one"))
+    return resolve.registry(rows, splits).select("key", "normalized_name", "homonym_partition", "n_mentions")
 
 
 @query("select p_partkey, substr(sha256('link|part|' || p_partkey || '|' || p_name), 1, 24) as link_id from part")
@@ -154,23 +171,25 @@ def pair_decision(spark, d):
 
 
 LINKS_SQL = """
-with links as (select event_id as link_id, user_id as document_id, case when cast(json_extract_string(props, '$.k') as int) % 3 = 0 then '' else event_type || cast(json_extract_string(props, '$.k') as int) % 4 end as raw from events),
-mentions as (select distinct o_custkey % 150 as document_id, ['click', 'view', 'error', 'purchase', 'signup'][o_orderkey % 5 + 1] || (o_orderkey % 3) as name from orders where o_custkey % 4 > 0 and o_orderkey % 40 < 3),
-per as (select document_id, count(distinct name) as n, min(name) as only_one from mentions group by 1),
-r as (select l.link_id, l.document_id, m.name as explicit, case when raw <> '' and m.name is not null then 'resolved_explicit' when raw <> '' then 'unresolved_inconsistent_association'
-  when per.n = 1 then 'inferred_single_project' when per.n is null then 'unresolved_no_project' else 'unresolved_ambiguous' end as resolution_status, per.only_one
-  from links l left join mentions m on m.document_id = l.document_id and m.name = l.raw left join per on per.document_id = l.document_id),
+with links as (select event_id as link_id, user_id as document_id, case when cast(json_extract_string(props, '$.k') as int) % 3 = 0 then ' ' || chr(10) else event_type || cast(json_extract_string(props, '$.k') as int) % 4 end as raw from events),
+mentions as (select o_custkey as document_id, ['click', 'view', 'error', 'purchase', 'signup'][o_orderkey % 5 + 1] || (o_orderkey % 3) as name, case when o_totalprice < 60000 then ['click', 'view', 'error', 'purchase', 'signup'][o_orderkey % 5 + 1] || (o_orderkey % 3) end as project_id from orders),
+known as (select document_id, name, min(project_id) as explicit from mentions group by 1, 2),
+per as (select document_id, count(distinct project_id) as n, min(project_id) as only_one from mentions group by 1),
+r as (select l.link_id, l.document_id, m.explicit, case when trim(raw, ' ' || chr(10)) <> '' and m.explicit is not null then 'resolved_explicit' when trim(raw, ' ' || chr(10)) <> '' then 'unresolved_inconsistent_association'
+  when per.n = 1 then 'inferred_single_project' when coalesce(per.n, 0) = 0 then 'unresolved_no_project' else 'unresolved_ambiguous' end as resolution_status, per.only_one
+  from links l left join known m on m.document_id = l.document_id and m.name = l.raw left join per on per.document_id = l.document_id),
 a as (select link_id, document_id, resolution_status, case resolution_status when 'resolved_explicit' then explicit when 'inferred_single_project' then only_one end as project_id from r)
 """
 
 
 def _links(spark, d):
+    """Events are links, orders mentions, those of a low price of a project."""
     k = F.get_json_object("props", "$.k").cast("int")
-    links = t(spark, d, "events").select(F.col("event_id").alias("link_id"), F.col("user_id").alias("document_id"), F.when(k % 3 == 0, "").otherwise(F.concat("event_type", (k % 4).cast("string"))).alias("raw"))
+    links = t(spark, d, "events").select(F.col("event_id").alias("link_id"), F.col("user_id").alias("document_id"), F.when(k % 3 == 0, " \n").otherwise(F.concat("event_type", (k % 4).cast("string"))).alias("raw"))
     kinds = F.array(*map(F.lit, ("click", "view", "error", "purchase", "signup")))
-    orders = t(spark, d, "orders").where("o_custkey % 4 > 0 and o_orderkey % 40 < 3")
-    mentions = orders.select((F.col("o_custkey") % 150).alias("document_id"), F.concat(kinds[(F.col("o_orderkey") % 5).cast("int")], (F.col("o_orderkey") % 3).cast("string")).alias("name")).distinct()
-    return resolve.associations(links, mentions.withColumn("project_id", F.col("name"))).select("link_id", "document_id", "resolution_status", "project_id")
+    name = F.concat(kinds[(F.col("o_orderkey") % 5).cast("int")], (F.col("o_orderkey") % 3).cast("string"))
+    mentions = t(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), name.alias("name"), F.when(F.col("o_totalprice") < 60000, name).alias("project_id"))
+    return resolve.associations(links, mentions).select("link_id", "document_id", "resolution_status", "project_id")
 
 
 @query(LINKS_SQL + "select * from a")
@@ -196,7 +215,7 @@ def extended_links(spark, d):
     return _view(spark, d, True)
 
 
-ROLE_SQL = "case o_orderpriority when '1-URGENT' then 'focal' when '2-HIGH' then 'co_focal' when '3-MEDIUM' then 'contextual_mention' when '4-NOT SPECIFIED' then 'panoramic' else 'mentioned_unreviewed' end"
+ROLE_SQL = "case o_orderpriority when '1-URGENT' then 'focal' when '2-HIGH' then 'co_focal' when '3-MEDIUM' then 'contextual_mention' when '4-NOT SPECIFIED' then 'panoramic_mention' else 'mentioned_unreviewed' end"
 
 
 @query(f"""
@@ -205,7 +224,7 @@ select document_id, conflict_id, role, seq from (
     row_number() over (partition by o_custkey, o_orderstatus order by o_orderpriority, o_orderkey) as r from orders) where r = 1""")
 def role_best(spark, d):
     p = F.col("o_orderpriority")
-    role = F.when(p == "1-URGENT", "focal").when(p == "2-HIGH", "co_focal").when(p == "3-MEDIUM", "contextual_mention").when(p == "4-NOT SPECIFIED", "panoramic").otherwise("mentioned_unreviewed")
+    role = F.when(p == "1-URGENT", "focal").when(p == "2-HIGH", "co_focal").when(p == "3-MEDIUM", "contextual_mention").when(p == "4-NOT SPECIFIED", "panoramic_mention").otherwise("mentioned_unreviewed")
     rows = t(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("conflict_id"), role.alias("role"), F.col("o_orderkey").alias("seq"))
     return conflict.best_role(rows, ["document_id", "conflict_id"], "role", "seq")
 
@@ -213,7 +232,7 @@ def role_best(spark, d):
 @query("""
 with projects as (select n_regionkey as conflict_id, n_nationkey as project_id, n_name as name from nation),
 chain as (select distinct p.conflict_id, p.project_id, o.o_orderkey, l.l_linenumber from projects p join customer c on c.c_nationkey = p.project_id
-  join orders o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P' join lineitem l on l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R' and l.l_quantity >= 50),
+  join orders o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P' and o.o_totalprice > 400000 join lineitem l on l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R' and l.l_quantity >= 48),
 hit as (select distinct conflict_id, project_id from chain)
 select p.conflict_id, count(distinct p.project_id)::bigint as n_projects, count(distinct h.project_id)::bigint as n_backed,
   min_by(p.name, case when h.project_id is null then '1' else '0' end || p.name) as label,
@@ -223,10 +242,9 @@ def backing_chain(spark, d):
     projects = t(spark, d, "nation").select(F.col("n_regionkey").alias("conflict_id"), F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
     orders = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     mentions = orders.select(F.col("c_nationkey").alias("project_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("case_mention_id"))
-    included = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("case_mention_id"))
-    lines = t(spark, d, "lineitem").where("l_quantity >= 50")
-    quotes = lines.select(F.col("l_orderkey").alias("case_mention_id"), F.col("l_linenumber").alias("evidence_id"), F.lit("objeto").alias("quote_role"), (F.col("l_returnflag") == "R").cast("int").alias("verified"))
-    backed = conflict.backing(projects.select("conflict_id", "project_id"), mentions, included, quotes)
+    decided = t(spark, d, "orders").select(F.col("o_orderkey").alias("case_mention_id"), F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000), "include").otherwise("exclude").alias("decision"))
+    quotes = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_mention_id"), F.col("l_linenumber").alias("evidence_id"), F.lit("objeto").alias("quote_role"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48)).cast("int").alias("verified"))
+    backed = conflict.backing(projects.select("conflict_id", "project_id"), mentions, decided.where("decision = 'include'"), quotes)
     return conflict.coverage(projects, backed)
 
 
@@ -234,29 +252,44 @@ def backing_chain(spark, d):
 with r as (select distinct c_mktsegment || c_custkey % 7 as actor, n_nationkey as case_id, n_regionkey as conflict_id from customer join nation on n_nationkey = c_nationkey)
 select actor, count(distinct case_id)::bigint as d_case, count(distinct conflict_id)::bigint as d_conflict, (count(distinct conflict_id) - count(distinct case_id))::bigint as delta_collapse from r group by actor""")
 def conflict_collapse(spark, d):
-    rows = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    actor = F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("actor")
-    g = rows.groupBy(actor).agg(F.countDistinct("n_nationkey").alias("d_case"), F.countDistinct("n_regionkey").alias("d_conflict"))
-    return g.withColumn("delta_collapse", F.col("d_conflict") - F.col("d_case"))
+    cases = t(spark, d, "nation").select(F.col("n_nationkey").alias("case_id"), F.col("n_regionkey").alias("conflict_id"))
+    rows = t(spark, d, "customer").select(F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("actor"), F.col("c_nationkey").alias("case_id")).join(cases, "case_id")
+    case, whole = (network.place_degrees(rows, "actor", c) for c in ("case_id", "conflict_id"))
+    deltas = network.decomposition(case, case, whole)
+    return deltas.join(case.withColumnRenamed("degree", "d_case"), "actor").join(whole.withColumnRenamed("degree", "d_conflict"), "actor").select("actor", "d_case", "d_conflict", "delta_collapse")
 
 
-@query("select l_partkey, min(s_nationkey)::int as nation from lineitem join supplier on s_suppkey = l_suppkey where l_quantity >= 48 group by 1 having count(distinct s_nationkey) = 1")
+@query("select l_partkey, min(case when l_quantity >= 48 then s_nationkey end)::int as nation from lineitem join supplier on s_suppkey = l_suppkey group by 1 having count(distinct case when l_quantity >= 48 then s_nationkey end) = 1")
 def single_region_parts(spark, d):
-    rows = t(spark, d, "lineitem").where("l_quantity >= 48").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return geo.single_value(rows, "l_partkey", "s_nationkey", "nation")
+    """Lines are mentions, of which those of large quantities have a code."""
+    rows = t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", F.when(F.col("l_quantity") >= 48, F.col("s_nationkey")).alias("code"))
+    return geo.single_value(rows, "l_partkey", "code", "nation")
 
 
 @query("""
-with x as (select s_suppkey, s_suppkey % 3 as k, 'nation_' || s_nationkey as n, 'nation_' || (s_nationkey + 1) % 25 as m from supplier)
-select s_suppkey, regexp_extract(n, '\\d+')::int as place_id, case k when 0 then 0 else 1 end::int as position, case k when 0 then 'literal' else 'fragment' end as method
-from x""")
+with x as (select s_suppkey, s_suppkey % 9 as k, s_nationkey as n from supplier),
+y as (select *, case when n % 5 = 4 then false else true end as located from x)
+-- places: Villa de NATION_i for each i; for i in 0..4 a namesake in another area; those with i % 5 = 4 without coordinates
+select s_suppkey, n::int as place_id,
+  case k when 0 then 0 when 1 then 0 when 2 then 3 when 3 then 2 when 4 then 1 when 5 then 0 when 7 then 0 end::int as position,
+  case k when 0 then 'literal' when 1 then 'literal_de_variant' when 2 then 'fragment' when 3 then 'fragment' when 4 then 'fragment' when 5 then 'literal' when 7 then 'literal' end as method,
+  (case when n < 5 then 2 else 1 end)::bigint as n_before, 'neighborhood' as precision
+from y where located and (k = 5 or (n >= 5 and k in (0, 1, 2, 3, 4, 7)))""")
 def gazetteer_lookup(spark, d):
-    n = F.concat(F.lit("Nation_"), F.col("s_nationkey").cast("string"))
-    other = F.concat(F.lit("NATION_"), ((F.col("s_nationkey") + 1) % 25).cast("string"))
-    s = F.col("s_suppkey") % 3
-    texts = t(spark, d, "supplier").select("s_suppkey", F.when(s == 0, n).when(s == 1, F.concat(n, F.lit(", "), other)).otherwise(F.concat(n, F.lit(" y  "), other)).alias("text"))
-    places = t(spark, d, "nation").select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("area"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
-    return geo.gazetteer(texts, places, "s_suppkey")
+    n, k = F.col("s_nationkey"), F.col("s_suppkey") % 9
+    name = F.concat(F.lit("Villa de Nation_"), n.cast("string"))
+    text = (
+        F.when(k == 0, F.concat(F.lit("  VILLA DE  nation_"), n.cast("string"))).when(k == 1, F.concat(F.lit("villa nation_"), n.cast("string"))).when(k == 2, F.concat(F.lit("Sector de "), name, F.lit(", algo")))
+        .when(k == 3, F.concat(F.lit("algo en  nada y "), name)).when(k == 4, F.concat(F.lit("barrio  de "), name)).when(k == 5, name).when(k == 6, F.concat(F.lit("cerca de "), name)).when(k == 7, name).otherwise("villa")
+    )
+    # k = 5 knows the area; k = 7 has a blank one, which is none; k = 8 has nothing to find
+    area = F.when(k == 5, F.concat(F.lit(" ÁREA "), n.cast("string"))).when(k == 7, " ")
+    texts = t(spark, d, "supplier").select("s_suppkey", text.alias("text"), area.alias("area"))
+    i = F.col("n_nationkey")
+    where = F.when(i % 5 != 4, "1.5")
+    places = t(spark, d, "nation").select(i.alias("place_id"), F.concat(F.lit("Villa de "), "n_name").alias("name"), F.concat(F.lit("area "), i.cast("string")).alias("area"), where.alias("lat"), where.alias("lon"), F.lit("Villa").alias("place_type"))
+    twins = places.where("place_id < 5").withColumns({"place_id": F.col("place_id") + 100, "area": F.lit("elsewhere"), "lat": F.lit("2"), "lon": F.lit("2")})
+    return geo.gazetteer(texts, places.unionByName(twins), "s_suppkey").select("s_suppkey", "place_id", "position", "method", "n_before", "precision")
 
 
 @query("""
@@ -271,13 +304,13 @@ def compound_split(spark, d):
 
 
 @query("""
-with m as (select s_suppkey, case when s_suppkey % 11 = 0 then null else s_suppkey end as cm, case when s_suppkey % 5 = 0 then null else s_nationkey end as code, s_suppkey % 7 = 0 as g, case when s_suppkey % 21 = 0 then 99 end as rv, s_acctbal > 1000 as inc from supplier),
-x as (select *, case when cm is null then 'no_case_mention_index' when rv is not null then 'via_reviewed_duplicate_group' when g and not (inc and code is not null) then 'ambiguous_duplicate_group'
-  when not inc then 'case_mention_no_incluido' when code is null then 'case_mention_sin_comuna' else 'direct' end as geo_status from m)
+with m as (select s_suppkey, case when s_suppkey % 11 = 0 then null else s_suppkey end as cm, case when s_suppkey % 5 = 0 then null else s_nationkey end as code, s_suppkey % 7 = 0 as g, case when s_suppkey % 14 = 0 then 99 end as rv, s_acctbal > 1000 as inc from supplier),
+x as (select *, case when cm is null then 'no_case_mention_index' when inc and code is not null then 'direct' when g and rv is null then 'ambiguous_duplicate_group' when rv is not null then 'via_reviewed_duplicate_group'
+  when not inc then 'case_mention_no_incluido' else 'case_mention_sin_comuna' end as geo_status from m)
 select s_suppkey, geo_status, case geo_status when 'direct' then code when 'via_reviewed_duplicate_group' then rv end::int as geo_code from x""")
 def mention_geo_cascade(spark, d):
     k = F.col("s_suppkey")
-    m = t(spark, d, "supplier").select("s_suppkey", F.when(k % 11 != 0, k).alias("case_mention_id"), F.when(k % 5 != 0, F.col("s_nationkey")).alias("code"), (k % 7 == 0).alias("in_group"), F.when(k % 21 == 0, 99).alias("reviewed_code"), (F.col("s_acctbal") > 1000).alias("included"))
+    m = t(spark, d, "supplier").select("s_suppkey", F.when(k % 11 != 0, k).alias("case_mention_id"), F.when(k % 5 != 0, F.col("s_nationkey")).alias("code"), (k % 7 == 0).alias("in_group"), F.when(k % 14 == 0, 99).alias("reviewed_code"), (F.col("s_acctbal") > 1000).alias("included"))
     return geo.mention_geography(m).select("s_suppkey", "geo_status", "geo_code")
 
 
@@ -299,20 +332,24 @@ def timeline_top500(spark, d):
 
 
 @query("""
-with q as (select source, split_part(text, chr(10), 1) as quote, min(doc_id) as doc_id from documents group by 1, 2)
-select source, doc_id, quote, rn::int as rn from (select *, row_number() over (partition by source order by doc_id) as rn from q) where rn <= 3""")
+with l as (select source, doc_id, unnest(string_split(text, chr(10))) as quote, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+q as (select source, quote, min((doc_id, pos)) as spot from l group by 1, 2)
+select source, spot[1] as doc_id, quote, rn::int as rn from (select *, row_number() over (partition by source order by spot) as rn from q) where rn <= 3""")
 def topk_quotes_per_group(spark, d):
-    docs = t(spark, d, "documents").select("source", "doc_id", F.split("text", "\n")[0].alias("quote"))
-    return present.first_rows(docs, ["source"], ["doc_id"], 3, "quote")
+    lines = t(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "quote"))
+    return present.first_rows(lines, ["source"], ["doc_id", "pos"], 3, "quote").select("source", "doc_id", "quote", "rn")
+
+
+COOC_SQL = """with r as (select distinct user_id as actor, strftime(ts, '%Y-%m-%d %H') as place from events),
+e as (select x.actor as a, y.actor as b, count(*)::bigint as weight from r x join r y on x.place = y.place and x.actor < y.actor group by 1, 2)"""
 
 
-COOC_SQL = """with r as (select distinct user_id as actor, strftime(ts, '%Y-%m-%d') as day from events where event_type = 'signup' and user_id < 60),
-e as (select x.actor as a, y.actor as b, count(*)::bigint as weight from r x join r y on x.day = y.day and x.actor < y.actor group by 1, 2)"""
+def _appearances(spark, d):
+    return t(spark, d, "events").select(F.col("user_id").alias("actor"), F.date_format("ts", "yyyy-MM-dd HH").alias("place"))
 
 
 def _cooccurrence(spark, d):
-    e = t(spark, d, "events").where("event_type = 'signup' and user_id < 60").select(F.col("user_id").alias("actor"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return network.projection(e, "actor", "day")
+    return network.projection(_appearances(spark, d), "actor", "place")
 
 
 @query(COOC_SQL + " select a, b, weight from e")
@@ -321,25 +358,25 @@ def cooccurrence(spark, d):
 
 
 @query("""
-with b as (select user_id as actor, event_type as case_id, count(distinct strftime(ts, '%Y-%m-%d')) as weight from events where user_id % 3 = 0 group by 1, 2),
+with b as (select user_id as actor, event_type as case_id, count(distinct strftime(ts, '%Y-%m-%d')) as weight from events group by 1, 2),
 g as (select case_id, count(*) as deg from b group by 1), w as (select case_id, list(weight order by weight) as v, len(list(weight)) as n from b group by case_id),
 j as (select *, least(greatest(floor((n + 1) * 9 / 10), 1), n - 1)::int as j from w), z as (select *, (n + 1) * 9 - j * 10 as delta from j)
 select z.case_id, g.deg::bigint as n_actors, median(b.weight)::double as median_weight, any_value(case when n >= 10 then (v[j] * (10 - delta) + v[j + 1] * delta) / 10.0 else v[n] end)::double as p90_weight
 from z join g using (case_id) join b using (case_id) group by z.case_id, g.deg""")
 def bipartite_degree(spark, d):
-    e = t(spark, d, "events").where("user_id % 3 = 0").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    b = network.bipartite(e, "user_id", "event_type", "day")
+    b = network.bipartite(t(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "user_id", "event_type", "day")
     v = F.array_sort(F.collect_list("weight"))
     return b.groupBy(F.col("event_type").alias("case_id")).agg(F.count(F.lit(1)).alias("n_actors"), F.median("weight").alias("median_weight"), network.exclusive_p90(v).cast("double").alias("p90_weight"))
 
 
-@query(COOC_SQL.replace("with r", "with recursive r").replace("< 60", "< 60") + """, f as (select a, b from e where weight >= 4), s as (select a, b from f union select b, a from f), nodes as (select distinct actor as node from r),
+@query(COOC_SQL.replace("with r", "with recursive r") + """, f as (select a, b from e where weight >= 12), s as (select a, b from f union select b, a from f), nodes as (select distinct actor as node from r),
 walk(node, reach) as (select node, node from nodes union select walk.node, s.b from walk join s on s.a = walk.reach),
 c as (select component, count(*) as size from (select node, min(reach) as component from walk group by node) group by 1)
-select sum(size)::bigint as n, (select count(*) from f)::bigint as m, coalesce(round_even((select count(*) from f) / nullif(sum(size) * (sum(size) - 1) / 2, 0), 5), 0.0)::double as density, count(*)::bigint as components, max(size)::bigint as largest from c""")
+select sum(size)::bigint as n, (select count(*) from f)::bigint as m, coalesce(round_even((select count(*) from f) / nullif(sum(size) * (sum(size) - 1) / 2, 0), 5), 0.0)::double as density, count(*)::bigint as components, max(size)::bigint as largest,
+  round_even(max(size) * 100.0 / sum(size), 1)::double as share from c""")
 def projection_summary(spark, d):
-    nodes = t(spark, d, "events").where("event_type = 'signup' and user_id < 60").select(F.col("user_id").alias("node")).distinct()
-    return network.projection_summary(_cooccurrence(spark, d).where("weight >= 4"), nodes)
+    nodes = _appearances(spark, d).select(F.col("actor").alias("node")).distinct()
+    return network.projection_summary(_cooccurrence(spark, d).where("weight >= 12"), nodes)
 
 
 @query("""
@@ -352,12 +389,13 @@ def spearman_rank(spark, d):
 
 
 @query("""
-with r as (select p_partkey, case when p_brand in ('Brand#1', 'Brand#2', 'Brand#3') then 'entity:1' when p_brand in ('Brand#4', 'Brand#5') then p_brand || '::' || p_type else p_brand end as node, p_type from part)
+with r as (select p_partkey, case when p_brand in ('Brand#1', 'Brand#2', 'Brand#3') then 'entity:1' when p_brand in ('Brand#4', 'Brand#5') then lower(p_brand) || '::' || p_type else lower(p_brand) end as node, p_type from part)
 select node, count(*)::bigint as n, count(distinct p_type)::bigint as degree from r group by node""")
 def actor_alias_resolution(spark, d):
-    parts = t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("actor"), F.col("p_type").alias("case_id"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.upper("p_brand"), F.lit("\t"))).otherwise(F.col("p_brand"))
+    parts = t(spark, d, "part").select("p_partkey", name.alias("actor"), F.col("p_type").alias("case_id"))
     aliases = spark.createDataFrame([(f"Brand#{i}", "entity:1", "One") for i in (1, 2, 3)], "name string, entity_id string, label string")
-    rows = network.resolve_actors(parts, aliases, generic=("Brand#4", "Brand#5"))
+    rows = network.resolve_actors(parts, aliases, generic=("brand#4", "brand#5"))
     return rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("degree"))
 
 
@@ -365,10 +403,13 @@ def actor_alias_resolution(spark, d):
 with a as (select user_id from events where event_type = 'click' group by 1 order by count(*) desc, user_id limit 15), b as (select user_id from events where event_type = 'purchase' group by 1 order by count(*) desc, user_id limit 15)
 select user_id, 'both' as side from a intersect select user_id, 'both' from b union all (select user_id, 'left' from a where user_id not in (select user_id from b)) union all (select user_id, 'right' from b where user_id not in (select user_id from a))""")
 def set_overlap_top15(spark, d):
-    e = t(spark, d, "events")
-    top = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(15).select("user_id")
-    a, b = top("click"), top("purchase")
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).withColumn("side", F.lit("left"))).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    labels = t(spark, d, "events").select(F.col("user_id").alias("actor"), F.col("user_id").alias("label")).distinct()
+
+    def top(kind):
+        own = t(spark, d, "events").where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("actor")).agg(F.count(F.lit(1)).alias("degree"))
+        return network.top_degrees(own, labels, 15)
+
+    return network.overlap(top("click"), top("purchase"), "actor").withColumnRenamed("actor", "user_id")
 
 
 @query("select doc_id, source from documents order by sha256('20260924|' || doc_id), doc_id limit 100")
@@ -377,11 +418,11 @@ def holdout_sample(spark, d):
 
 
 @query("""select u.user_id, u.event_type from (select distinct a.user_id, b.event_type from (select distinct user_id from events) a, (select distinct event_type from events) b) u
-where not exists (select 1 from events e where e.user_id = u.user_id and e.event_type = u.event_type and e.value > 20)""")
+where not exists (select 1 from events e where e.user_id = u.user_id and e.event_type = u.event_type and e.value > 120)""")
 def resume_pending(spark, d):
     e = t(spark, d, "events")
     plan = e.select("user_id").distinct().crossJoin(F.broadcast(e.select("event_type").distinct()))
-    return ingest.pending(plan, e.where("value > 20"), ["user_id", "event_type"])
+    return ingest.pending(plan, e.where("value > 120"), ["user_id", "event_type"])
 
 
 @query("select r_name, event_type, period, sha256(r_name || '|' || event_type || '|' || period) as query_hash from region, (select distinct event_type from events), (select unnest(['p1', 'p2', 'p3', 'p4']) as period)")
@@ -390,11 +431,24 @@ def query_plan(spark, d):
     return ingest.work_plan(t(spark, d, "region").select("r_name"), t(spark, d, "events").select("event_type").distinct(), periods)
 
 
-@query("select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as idx, role, length(text)::int as chars, conv_id || ':turn:' || (row_number() over (partition by conv_id order by turn) - 1) as item_id from conversations")
+TURNS_SQL = """with x as (select conv_id::varchar as document_id, (row_number() over (partition by conv_id order by turn) - 1)::int as idx, role, text from conversations)"""
+
+
+def _records(spark, d):
+    """Conversations as nested records: turns are actors, the user's of which have a verified quote."""
+    turns = t(spark, d, "conversations")
+    none = F.lit(None).cast("string")
+    user = F.col("role") == "user"
+    one = F.struct("turn", F.col("role").alias("nombre"), F.lit("x").alias("tipo"), F.upper("role").alias("rol"), none.alias("stance"), F.when(user, F.col("text")).alias("cita"), F.when(~user, F.col("text")).alias("cita_original_modelo"), user.alias("cita_verificada"))
+    return turns.groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(one)).alias("actores"))
+
+
+@query(TURNS_SQL + """ select document_id || ':actor:' || idx as actor_id, document_id, idx, role as nombre, upper(role) as rol, '' as stance, md5(case when role = 'user' then text else '' end) as quote,
+  md5(case when role = 'user' then '' else text end) as quote_original, (role = 'user')::int as verified, case when role = 'user' and text <> '' then document_id || ':enrichment:actor:' || idx end as evidence_id from x""")
 def nested_flatten(spark, d):
-    nested = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    flat = nested.select("conv_id", F.posexplode("turns").alias("idx", "x"))
-    return flat.select("conv_id", "idx", "x.role", F.length("x.text").alias("chars"), F.concat_ws(":turn:", F.col("conv_id").cast("string"), F.col("idx").cast("string")).alias("item_id"))
+    rows = nested.items(_records(spark, d), "actores")
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    return rows.select("actor_id", "document_id", "idx", "nombre", "rol", "stance", md5("quote").alias("quote"), md5("quote_original").alias("quote_original"), "verified", "evidence_id")
 
 
 @query("""select doc_id, (1990 + doc_id % 40)::varchar || '-01' as date, list_contains(regexp_extract_all(text, '\\b(\\d{4})\\b', 1), (1990 + doc_id % 40)::varchar) as grounded from documents""")
@@ -433,9 +487,9 @@ def pk_duplicates(spark, d):
 
 
 @query("""
-with r as (select sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus) as h from orders), e as (select h, count(*) as c from r group by h),
-p as (select substr(h, 1, 2) as b, sum(c) as n, sha256(string_agg(h || 'x' || c, chr(10) order by h || 'x' || c)) as p from e group by 1)
-select sum(n)::bigint as n, sha256(string_agg(b || p, chr(10) order by b || p)) as fingerprint from p""")
+with r as (select sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus) as h from orders), p as (select h, unnest(range(8)) as i from r),
+z as (select i, sum(('0x' || substr(h, (8 * i + 1)::int, 8))::bigint) % 4294967296 as v from p group by i)
+select (select count(*) from r)::bigint as n, string_agg(format('{:08x}', v::bigint), '' order by i) as fingerprint from z""")
 def table_fingerprint(spark, d):
     return audit.fingerprint(t(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
@@ -452,26 +506,39 @@ def social_truncation(spark, d):
     return t(spark, d, "pages").select("page_id", evidence.social_truncation(url, text).alias("reason"))
 
 
-@query("""
-with d as (select doc_id, source, case when l.quality = 1 then 'include' else 'uncertain' end as decision, split_part(text, chr(10), 1) as quote, n_chars from documents join labels l using (doc_id)),
-m as (select 'g' || doc_id // 40 as document_id, doc_id as idx, trim(regexp_replace(lower(quote), '\\s+', ' ', 'g')) as q, decision from d)
-select x.document_id, x.idx as a, y.idx as b from m x join m y on x.document_id = y.document_id and x.idx < y.idx and length(x.q) >= 8 and length(y.q) >= 8 and (contains(x.q, y.q) or contains(y.q, x.q))""")
-def within_document_pairs(spark, d):
-    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    m = docs.select(F.concat(F.lit("g"), F.floor(F.col("doc_id") / 40).cast("string")).alias("document_id"), F.col("doc_id").alias("idx"), X.norm_plain(F.split("text", "\n")[0]).alias("q")).where("length(q) >= 8")
-    x, y = m.alias("x"), m.alias("y")
-    met = x.join(y, (F.col("x.document_id") == F.col("y.document_id")) & (F.col("x.idx") < F.col("y.idx")) & (F.contains("x.q", F.col("y.q")) | F.contains("y.q", F.col("x.q"))))
-    return met.select("x.document_id", F.col("x.idx").alias("a"), F.col("y.idx").alias("b"))
+DUPLICATES_SQL = """
+with recursive m as (select p_brand as document_id, p_partkey as idx, case when p_size % 5 = 0 then 'ótipo ' || p_type else '' end as o, case when p_size % 3 = 0 then p_name || ' ' || p_size % 7 else p_name end as q, case when p_size > 40 then null when p_size > 20 then 'include' else 'exclude' end as decision from part),
+e as (select x.idx as a, y.idx as b, x.o <> '' and x.o = y.o as same, length(x.q) >= 8 and length(y.q) >= 8 and (contains(x.q, y.q) or contains(y.q, x.q)) as within_
+  from m x join m y on x.document_id = y.document_id and x.idx <> y.idx),
+l as (select * from e where same or within_),
+walk(node, reach) as (select idx, idx from m union select walk.node, l.b from walk join l on l.a = walk.reach),
+c as (select node, min(reach) as component from walk group by node),
+g as (select c.component, count(*) as group_size, count(distinct coalesce(m.decision, '-')) > 1 as mixed, coalesce(min(case when decision = 'include' then idx end), min(idx)) as canonical_idx, 'cmdup:' || substr(sha256(string_agg(document_id || ':' || idx, '|' order by document_id || ':' || idx)), 1, 24) as group_id
+  from c join m on m.idx = c.node group by 1),
+h as (select c.component, bool_or(same) as s, bool_or(within_) as w from l join c on c.node = l.a group by 1)
+select m.document_id, m.idx, group_id, group_size::bigint as group_size, canonical_idx, case when s and w then 'ambos' when s then 'tipo_objeto_raw_exact' when w then 'quote_substring' else 'single' end as method, mixed
+from m join c on c.node = m.idx join g using (component) left join h using (component)"""
+
+
+@query(DUPLICATES_SQL)
+def duplicate_mentions(spark, d):
+    """Parts are mentions, brands documents; objects and quotes are written with accents and capitals on one side."""
+    size, odd = F.col("p_size"), F.col("p_partkey") % 2 == 0
+    quote = F.when(size % 3 == 0, F.concat("p_name", F.lit(" "), (size % 7).cast("string"))).otherwise(F.col("p_name"))
+    rows = t(spark, d, "part").select(
+        F.col("p_brand").alias("document_id"), F.col("p_partkey").alias("idx"), F.when(size % 5 == 0, F.concat(F.when(odd, "Ótipo  ").otherwise("otipo "), "p_type")).otherwise(" ").alias("object_raw"),
+        F.when(odd, F.upper(F.translate(quote, "aeo", "áéó"))).otherwise(quote).alias("quote"), F.when(size > 40, None).when(size > 20, "include").otherwise("exclude").alias("decision"),
+    )
+    return conflict.duplicate_groups(rows)
 
 
 @query("""
-with a as (select distinct o_custkey % 50 as document_id, o_orderkey % 9 as conflict_id, case when o_orderstatus = 'P' then 'pending' else 'confirmed' end as status from orders where o_orderkey % 97 = 0),
+with a as (select distinct o_custkey as document_id, o_orderkey % 9 as conflict_id, case when o_orderstatus = 'P' then 'pending' else 'confirmed' end as status from orders),
 s as (select document_id, conflict_id, max(status) as status from a group by 1, 2)
 select x.conflict_id as conflict_a, y.conflict_id as conflict_b, case when bool_or(x.status = 'pending') then 'pending' else 'confirmed' end as status, count(distinct x.document_id)::int as n_documents
 from s x join s y on x.document_id = y.document_id and x.conflict_id < y.conflict_id group by 1, 2""")
 def distinct_conflict_relations(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 97 = 0")
-    rows = o.groupBy((F.col("o_custkey") % 50).alias("document_id"), (F.col("o_orderkey") % 9).alias("conflict_id")).agg(F.max(F.when(F.col("o_orderstatus") == "P", "pending").otherwise("confirmed")).alias("status"))
+    rows = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 9).alias("conflict_id")).agg(F.max(F.when(F.col("o_orderstatus") == "P", "pending").otherwise("confirmed")).alias("status"))
     return conflict.distinct_relations(rows).select("conflict_a", "conflict_b", "status", F.size("documents").alias("n_documents"))
 
 
@@ -500,11 +567,11 @@ def gate_decomposition(spark, d):
 
 
 @query("""
-select p_brand as node, case when count(*) filter (where p_type = 'PROMO') + count(*) filter (where p_type = 'SMALL') = 0 then null
-  else count(*) filter (where p_type = 'PROMO') >= count(*) filter (where p_type = 'SMALL') end as es_institucional from part where p_partkey % 9 = 0 group by 1""")
+with v as (select p_brand || '/' || p_size as node, case p_type when 'PROMO' then 1 when 'SMALL' then 0 end as vote from part)
+select node, case when count(vote) = 0 then null else count(*) filter (where vote = 1) >= count(*) filter (where vote = 0) end as es_institucional from v group by 1""")
 def tri_state_votes(spark, d):
-    votes = t(spark, d, "part").where("p_partkey % 9 = 0").select("p_brand", F.when(F.col("p_type") == "PROMO", 1).when(F.col("p_type") == "SMALL", 0).alias("vote"))
-    return votes.groupBy(F.col("p_brand").alias("node")).agg(network.tri_state().alias("es_institucional"))
+    votes = t(spark, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("node"), F.when(F.col("p_type") == "PROMO", 1).when(F.col("p_type") == "SMALL", 0).alias("vote"))
+    return votes.groupBy("node").agg(network.tri_state().alias("es_institucional"))
 
 
 @query("""
@@ -531,10 +598,12 @@ g as (select id, name, 'phase:' || substr(sha256((case when id >= 20 then id - 1
 select id::bigint as project_id, phase_id, case when twin then 'same_phase_alias' else 'represents_phase' end as relation_type, name as evidence from g
 union all select (k % 5)::bigint, g.phase_id, 'has_phase', m.name || ' -> ' || g.name from k join p m on m.id = k % 5 join g on g.id = 10 + k""")
 def phase_links(spark, d):
+    """Nations are projects: reviewers made ten of them phases of the first five, and four of the last ones other names of phases."""
     projects = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("project_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("case_id"))
-    called = {r["project_id"]: r["name"] for r in projects.where("project_id < 25").collect()}
-    parts = spark.createDataFrame([(called[k % 5], called[10 + k]) for k in range(10)], "matrix string, phase string")
-    same = spark.createDataFrame([(called[10 + k], called[20 + k]) for k in range(4)], "a string, b string")
+    named = lambda id_, name: projects.select(F.col("project_id").alias(id_), F.col("name").alias(name))
+    phases = named("id", "phase").where("id between 10 and 19").withColumn("of", F.col("id") % 5)
+    parts = phases.join(named("of", "matrix"), "of").select("matrix", "phase")
+    same = named("id", "a").where("id between 10 and 13").withColumn("twin", F.col("id") + 10).join(named("twin", "b"), "twin").select("a", "b")
     return layers.phase_layer(projects, parts, same)[1]
 
 
@@ -583,7 +652,7 @@ def adjudication_errors(spark, d):
 
 
 @query("""
-select p_partkey, 12 as start, (12 + length(p_name))::int as "end", upper(p_name) as fragment, 'whole_name' as method from part""")
+select p_partkey, 12 as start, (12 + length(p_name))::int as "end", upper(p_name) as fragment, 'normalized_full_mention' as method from part""")
 def literal_fragment(spark, d):
     parts = t(spark, d, "part").select("p_partkey", "p_name", F.concat(F.lit("El proyecto "), F.upper("p_name"), F.lit(", hoy")).alias("text"))
     return parts.select("p_partkey", fragment(F.col("text"), F.col("p_name"), F.lit("hoy")).alias("x")).select("p_partkey", "x.start", "x.end", "x.fragment", "x.method")

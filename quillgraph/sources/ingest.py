@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillgraph.functions.text import strip
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
     """JSON lines; broken lines are dropped, or raise if strict."""
@@ -22,17 +28,97 @@ def read_documents(spark: SparkSession, folder: str, schema: StructType) -> Data
     return spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("path", F.col("_metadata.file_path"))
 
 
-def read_records(spark: SparkSession, paths: list[str], schema: StructType, key: str = "url") -> DataFrame:
-    """Several files whose keys must not meet; a repeated key raises."""
+def classifiable(documents: DataFrame, disposition) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The documents to work on, and those set aside by disposition, from a column that says so (``evidence.eligibility``)."""
+    rows = documents.withColumn("disposition", disposition)
+    aside = {name: rows.where(F.col("disposition") == name).drop("disposition") for name in ("too_long", "social_truncated")}
+    return rows.where("disposition = 'eligible'").drop("disposition"), aside
+
+
+def set_aside(rows: DataFrame, path: str, key: str = "url") -> None:
+    """Append rows to a side output that does not have them yet; a second run adds nothing."""
+    spark = rows.sparkSession
+    try:
+        known = spark.read.schema(rows.schema).json(path).select(key).distinct().checkpoint()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows.dropDuplicates([key]).write.json(path)
+        return
+    rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").json(path)
+
+
+def read_records(spark: SparkSession, paths: list[str], schema: StructType, key: str = "url", outside: DataFrame | None = None) -> DataFrame:
+    """Several files whose keys must not meet; a repeated key raises. Keys that are ``outside`` the universe are left out afterwards."""
     rows = spark.read.schema(schema).json(paths)
     if not rows.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"{key} is repeated across files")
-    return rows
+    return rows if outside is None else rows.join(outside.select(key).distinct(), key, "left_anti")
+
+
+def read_table(spark: SparkSession, name: str, jdbc: dict[str, str] | None = None, part: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """A table of the catalog, or by JDBC: read-only, in ``part`` (column, lower, upper, number) many reads."""
+    if jdbc is None:
+        return spark.table(name)
+    reader = spark.read.format("jdbc").options(**jdbc).option("dbtable", name)
+    if part:
+        reader = reader.options(partitionColumn=part[0], lowerBound=part[1], upperBound=part[2], numPartitions=part[3])
+    return reader.load()
+
+
+def read_reviewed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The documents of a reviewed package, a JSON object with the list 'documentos'; without it it raises."""
+    whole = spark.read.option("multiLine", True).schema(StructType().add("documentos", "array<string>")).json(path)
+    if whole.where("documentos is null").limit(1).count() or whole.isEmpty():
+        raise ValueError("the package has no list 'documentos'")
+    return whole.select(F.explode("documentos").alias("d")).select(F.from_json("d", schema).alias("d")).select("d.*")
+
+
+def read_targets(spark: SparkSession, path: str, ids: list[str] | None = None, key: str = "id") -> DataFrame:
+    """The entries of a registry (JSON, or YAML where a parser is installed: a list, or one under 'targets'), those with the ids; a missing id raises."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML registries need a YAML parser; give JSON") from e
+        entries = yaml.safe_load(text)
+    else:
+        entries = json.loads(text)
+    entries = entries["targets"] if isinstance(entries, dict) else entries
+    if ids is not None:
+        known = {str(e[key]): e for e in entries}
+        if missing := [i for i in ids if i not in known]:
+            raise ValueError(f"unknown ids: {missing}")
+        entries = [known[i] for i in ids]
+    rows = [{k: None if v is None else str(v) for k, v in e.items()} for e in entries]
+    names = sorted({k for r in rows for k in r})
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"`{n}` string" for n in names))
+
+
+def content_paths(records: DataFrame, documents: DataFrame, key: str = "url") -> DataFrame:
+    """Records with the path of their document's file, null without one; of several the first."""
+    return records.join(documents.groupBy(key).agg(F.min("path").alias("path")), key, "left")
+
+
+def case_rows(sample: DataFrame, records: DataFrame, texts: DataFrame, key: str, order: str) -> DataFrame:
+    """The sampled records, the last of each key, with their full text (null without one)."""
+    own = latest(records.join(sample.select(key).distinct(), key, "left_semi"), key, order)
+    return own.join(texts.groupBy(key).agg(F.max("text").alias("text")), key, "left")
+
+
+def universe(records: DataFrame, key: str, order: str) -> DataFrame:
+    """What may be enriched: the last record of each key, of those that are included and of the dated scope."""
+    return latest(records.where("decision_documento = 'include' and corpus_scope = 'temporal_v2'"), key, order)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with header and, maybe, a byte-order mark."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """CSV with header and, maybe, a byte-order mark; columns are found by name, whatever their order."""
+    names = [n.removeprefix("\ufeff") for n in spark.read.option("header", False).csv(path).limit(1).first() or []]
+    if missing := [f.name for f in schema.fields if f.name not in names]:
+        raise ValueError(f"columns are missing: {missing}")
+    rows = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
+    return rows.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +129,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids from a text file, without comments and blank lines."""
-    return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> '' and not startswith(id, '#')")
+    return spark.read.text(path).select(strip(F.col("value")).alias("id")).where("id <> '' and not startswith(id, '#')")
 
 
 def pinned(spark: SparkSession, path: str, sha256: str) -> bool:
@@ -78,6 +164,87 @@ def with_provider(rows: DataFrame, provider: Callable[[dict], dict], schema: str
     return rows.mapInPandas(run, schema)
 
 
+def with_retries(provider: Callable[[dict], dict], retryable: Callable[[dict], bool], tries: int = 5, wait: float = 1.0, pause: Callable[[float], None] = time.sleep) -> Callable[[dict], dict]:
+    """A provider that is asked again while its answer is retryable, after 2**n times ``wait`` and some jitter; 'cost' adds up over all paid answers, 'tries' counts them."""
+
+    def ask(row: dict) -> dict:
+        cost = 0.0
+        for n in range(tries):
+            answer = provider(row)
+            cost += float(answer.get("cost") or 0.0)
+            if not retryable(answer) or n == tries - 1:
+                break
+            pause(wait * 2**n * (1 + random.random() / 4))
+        return {**answer, "cost": cost, "tries": n + 1}
+
+    return ask
+
+
+def page_fetcher(get: Callable[[str], tuple[int, bytes]]) -> Callable[[dict], dict]:
+    """A provider of pages from a function that gets (status, body) of a URL or raises OSError: status ok, http_error or network_error."""
+
+    def fetch(row: dict) -> dict:
+        try:
+            code, body = get(row["url"])
+        except OSError as e:
+            return {"url": row["url"], "status": "network_error", "code": None, "body": None, "error": str(e)[:200]}
+        return {"url": row["url"], "status": "ok" if 200 <= code < 300 else "http_error", "code": code, "body": body, "error": None}
+
+    return fetch
+
+
+def page_retryable(answer: dict) -> bool:
+    """Too many requests, a server's error, or no answer."""
+    return answer["status"] == "network_error" or answer["code"] == 429 or (answer["code"] or 0) >= 500
+
+
+def raw_captures(pages: DataFrame, folder: str, stamp: str) -> DataFrame:
+    """(url, path, sha256, bytes): bodies written once each under '<stamp>_<first 16 of the hash>.raw' in a folder that all executors share; a capture that is there stays."""
+    from quillgraph.sources.files import write_once
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url, body in zip(frame["url"], frame["body"], strict=True):
+                digest = hashlib.sha256(body).hexdigest()
+                rows.append((url, write_once(folder, f"{stamp}_{digest[:16]}.raw", bytes(body)), digest, len(body)))
+            yield pd.DataFrame(rows, columns=["url", "path", "sha256", "bytes"])
+
+    return pages.where("body is not null").select("url", "body").mapInPandas(run, "url string, path string, sha256 string, bytes long")
+
+
+def write_report(spark: SparkSession, rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small report as one JSON file that appears whole: written beside it, then renamed over it. More than ``most`` rows raise."""
+    held = [json.loads(r) for r in rows.limit(most + 1).toJSON().collect()]
+    if len(held) > most:
+        raise ValueError(f"a report has more than {most} rows")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    part, whole = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.part", path))
+    system = whole.getFileSystem(conf)
+    out = system.create(part, True)
+    out.write(bytearray(json.dumps(held, ensure_ascii=False, indent=1).encode()))
+    out.hsync()
+    out.close()
+    system.delete(whole, False)
+    if not system.rename(part, whole):
+        raise OSError(f"could not write {path}")
+
+
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file or folder as it is, over an older one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf):
+        raise OSError(f"could not publish {target}")
+
+
+def copy_table(rows: DataFrame, path: str, change: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StructType:
+    """A table written again with the schema that it turns out to have, after a change; gives the schema."""
+    out = change(rows)
+    out.write.mode("overwrite").parquet(path)
+    return out.schema
+
+
 def write_split(rows: DataFrame, folder: str, status: str = "status") -> None:
     """Results to three sinks by status: ok, error, invalid."""
     for name in ("ok", "error", "invalid"):

@@ -8,9 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def available_now(spark: SparkSession, source: str, schema: StructType, checkpoint: str, sink: str, key: str) -> StreamingQuery:
-    """Whatever new Parquet files the source has, each key once, appended to the sink; a restart goes on where it ended."""
-    rows = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
+def available_now(spark: SparkSession, source: str, schema: StructType, checkpoint: str, sink: str, key: str, time: str | None = None, late: str = "7 days") -> StreamingQuery:
+    """Whatever new Parquet files the source has, each key once, appended to the sink; a restart goes on where it ended.
+
+    With ``time``, a timestamp column, keys are told apart within the watermark ``late`` and the state stays bounded; keys
+    that repeat later are told apart in the sink (``latest``). Without it every key is held for good: for small sets alone.
+    """
+    rows = spark.readStream.schema(schema).parquet(source)
+    rows = rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if time else rows.dropDuplicates([key])
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", sink).trigger(availableNow=True).start()
 
 
@@ -35,3 +40,28 @@ def windowed(events: DataFrame, time: str, kind: str, size: str = "1 day", late:
 def pending_work(universe: DataFrame, ok: DataFrame, key: str) -> DataFrame:
     """All without the done ones; invalid results are tried again."""
     return universe.join(ok.select(key).distinct(), key, "left_anti")
+
+
+def completed(log: DataFrame, key: str, kind: str = "event", marker: str = "query_completed") -> DataFrame:
+    """(key) of the units of work whose completion marker is in the log; rows of a unit that broke off don't count."""
+    return log.where(F.col(kind) == marker).select(key).distinct()
+
+
+def resume_plan(plan: DataFrame, log: DataFrame, key: str, kind: str = "event", marker: str = "query_completed") -> DataFrame:
+    """The units of a plan that have no completion marker."""
+    return plan.join(completed(log, key, kind, marker), key, "left_anti")
+
+
+def run_states(log: DataFrame, key: str = "stage", time: str = "at") -> DataFrame:
+    """(stage, state, at): each stage's last entry in an append-only log of states running, done, failed or skipped."""
+    return log.groupBy(key).agg(F.max_by(F.struct("state", time), time).alias("r")).select(key, "r.*")
+
+
+def upstream_running(log: DataFrame, stages: list[str], key: str = "stage", time: str = "at") -> DataFrame:
+    """The stages that are running: a later one should wait for them."""
+    return run_states(log, key, time).where(F.col(key).isin(*stages) & (F.col("state") == "running"))
+
+
+def once(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """What was delivered at least once, each key once: the first by ``order``."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*(c for c in rows.columns if c != key)), order).alias("r")).select(key, "r.*")

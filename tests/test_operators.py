@@ -3,7 +3,7 @@
 import pytest
 
 from quillgraph.functions import text as X
-from quillgraph.functions.fragment import folded, locate
+from quillgraph.functions.fragment import folded_words, locate
 from quillgraph.operators import audit, conflict, evidence, geo, layers, network, resolve
 from quillgraph.operators.components import connected_components
 from quillgraph.plans import queries as plans
@@ -42,12 +42,22 @@ def one(spark, value, f):
 
 def test_normalisers_differ(spark):
     assert one(spark, "Edificio  Lote 18-A, Ñuñoa", X.norm_name) == "lote 18a nunoa"
-    assert one(spark, "A–B Nº ½ ß", X.fold_ascii) == "ab no 12 " == one(spark, "A–B Nº ½ ß", X.fold_ascii_exact)
+    import unicodedata
+
+    for value in ("A–B Nº ½ ß", "Torre…Norte", "a\u2009b\u202fc", "™ ㎏ éÉ", "αά́ 日本", "𝐀 ① ﬁn", "Á\u0301 e\u0301", "", None):
+        folded = None if value is None else unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode().lower()
+        marks = None if value is None else "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+        assert one(spark, value, X.fold_ascii) == folded and one(spark, value, X.strip_marks) == marks
+    assert one(spark, "Torre…Norte", X.norm_name) == "torre norte" and one(spark, "Torres 15-20", X.norm_name) == "torres 15 20" and one(spark, "Lote 18-A1", X.norm_name) == "lote 18a1"
+    assert one(spark, "\u2003 a\tb\x1c\n", X.strip) == "a\tb"
+    assert one(spark, "Etapa  2, fase-3 subetapa 4 etapa 5b FASE iv", X.stage_tokens) == ["etapa_2", "fase_iv"] == one(spark, "fase\tIV etapa 2", X.stage_tokens)
+    assert one(spark, " 1,5", X.number_or_null) is None and one(spark, " -33.4 ", X.number_or_null) == -33.4
+    assert [one(spark, v, X.spatial_precision) for v in ("Comuna", "Centro  Poblado", None, "plaza")] == ["commune", "neighborhood", "poi", "poi"]
     assert one(spark, " Ñuñoa  Centro ", X.norm_key) == "nunoa centro"
     assert one(spark, " Ñuñoa  Centro ", X.norm_plain) == "ñuñoa centro"
     assert one(spark, "Peña-Lolén", X.norm_geo) == "pena lolen"
     assert one(spark, "A y B / C", X.split_compound) == ["A", "B", "C"]
-    assert one(spark, "Torre Etapa II", X.stage_tokens) == ["etapa ii"]
+    assert one(spark, "Torre Etapa II", X.stage_tokens) == ["etapa_ii"]
     assert one(spark, "Amengual 480", X.trailing_numeral) == "480"
 
 
@@ -91,15 +101,58 @@ def test_scope_gate(spark):
     cases = [base, base | {"decision": "exclude"}, base | {"comuna": "Elsewhere"}, base | {"evidencia_accion_quotes": ["never said in the text"]}, base | {"profundidad_documentacion_caso": "mencion_tangencial"}, base | {"tipo_objeto_norm": "objeto_no_determinado"}]
     schema = ", ".join(f"{k} {'array<string>' if k.endswith('quotes') else 'string'}" for k in base)
     rows = spark.createDataFrame([tuple(c.values()) for c in cases], schema).coalesce(1)
-    out = evidence.scope_gate(rows, "inmobiliaria_urbana_amplia", ("edificio",), ("edificio",), (), ("nunoa",)).collect()
+    out = evidence.scope_gate(rows, "inmobiliaria_urbana_amplia", ("edificio",), ("edificio",), (), {"nunoa": "13120"}).collect()
     assert [r.decision_final for r in out][:5] == ["include", "exclude", "exclude", "uncertain", "exclude"]
 
 
-def test_gazetteer_area_is_hard(spark):
-    places = spark.createDataFrame([(1, "Las Rosas", "A", 0.0, 0.0), (2, "Las Rosas", "B", 0.0, 0.0), (3, "Parque", "B", 0.0, 0.0)], "place_id int, name string, area string, lat double, lon double")
-    texts = spark.createDataFrame([(1, "las rosas", None), (2, "sector de Las Rosas, algo", "A"), (3, "parque", "A"), (4, "algo en rosas", "B")], "id int, text string, area string")
-    got = {r.id: r.place_id for r in geo.gazetteer(texts, places, "id").collect()}
-    assert got.get(2) == 1 and 1 not in got and 3 not in got
+PLACES = [
+    ("p1", "Villa Rosa", "Ñuñoa", "-33.1", "-70.1", "villa"), ("p2", "Parque Sur", "Ñuñoa", "-33.2", "-70.2", "parque"), ("p3", "Parque Sur", "Macul", "-33.3", "-70.3", "parque"), ("p4", "Plaza de la Luna", "Macul", "-33", "-70", "plaza"),
+    ("p5", "Sin Punto", "Macul", "", "x", "x"), ("p6", "Doble", "Macul", "1", "1", "x"), ("p7", "Doble", "Renca", "", "", "x"), ("p8", "Las Rosas", "Renca", "1", "1", "comuna"),
+]
+
+
+@pytest.mark.parametrize(
+    ("text", "area", "want"),
+    [
+        ("Villa Rosa", None, ("p1", 0, "literal", "neighborhood")), ("  villa-ROSA ", " ", ("p1", 0, "literal", "neighborhood")), ("Rosa", None, None), ("Rosas", None, None), ("Los vecinos, Villa Rosa", None, ("p1", 2, "fragment", "neighborhood")),
+        ("Sector de Villa Rosa", None, ("p1", 1, "fragment", "neighborhood")), ("Sector Villa Rosa", None, None), ("Barrio de  Las Rosas", None, ("p8", 1, "fragment", "commune")), ("Parque Sur", None, None), ("Parque Sur", "NUNOA", ("p2", 0, "literal", "poi")),
+        ("Parque Sur", "Renca", None), ("Villa Rosa", "Macul", None), ("Plaza Luna", None, ("p4", 0, "literal_de_variant", "poi")), ("plaza del Luna", "macul", ("p4", 0, "literal_de_variant", "poi")), ("Sin Punto", None, None), ("Doble", None, None),
+        ("Doble", "Macul", ("p6", 0, "literal", "poi")), ("Sin Punto, Villa Rosa", None, ("p1", 2, "fragment", "neighborhood")), ("Parque Norte", None, None), ("Macul y Villa Rosa", None, ("p1", 2, "fragment", "neighborhood")), ("", None, None), (None, "Macul", None),
+    ],
+)
+def test_gazetteer_cases(spark, text, area, want):
+    places = spark.createDataFrame(PLACES, "place_id string, name string, area string, lat string, lon string, place_type string")
+    texts = spark.createDataFrame([(1, text, area)], "id int, text string, area string")
+    got = [(r.place_id, r.position, r.method, r.precision) for r in geo.gazetteer(texts, places, "id").collect()]
+    assert got == ([want] if want else [])
+
+
+def test_gazetteer_skips_names(spark):
+    places = spark.createDataFrame(PLACES, "place_id string, name string, area string, lat string, lon string, place_type string")
+    texts = spark.createDataFrame([(1, "Villa Rosa, Las Rosas")], "id int, text string")
+    assert [r.place_id for r in geo.gazetteer(texts, places, "id", skip=("villa rosa",)).collect()] == ["p8"]
+
+
+def test_mention_geography_cases(spark):
+    schema = "k string, case_mention_id string, code string, included boolean, in_group boolean, reviewed_code string"
+    rows = [
+        ("none", None, "1", True, True, "9"), ("direct", "m", "1", True, False, None), ("direct in a group", "m", "1", True, True, "9"), ("ambiguous", "m", None, True, True, None), ("ambiguous, excluded", "m", "1", False, True, None),
+        ("reviewed", "m", None, True, True, "9"), ("reviewed, excluded", "m", "1", False, True, "9"), ("not included", "m", "1", False, False, None), ("no code", "m", None, True, None, None),
+    ]
+    got = {r.k: (r.geo_status, r.geo_code) for r in geo.mention_geography(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "none": (geo.NO_INDEX, None), "direct": (geo.DIRECT, "1"), "direct in a group": (geo.DIRECT, "1"), "ambiguous": (geo.AMBIGUOUS, None), "ambiguous, excluded": (geo.AMBIGUOUS, None),
+        "reviewed": (geo.REVIEWED, "9"), "reviewed, excluded": (geo.REVIEWED, "9"), "not included": (geo.NOT_INCLUDED, None), "no code": (geo.NO_CODE, None),
+    }
+    with pytest.raises(ValueError):
+        geo.mention_geography(spark.createDataFrame([("x", "m", None, True, False, "9")], schema))
+
+
+def test_duplicates_are_folded(spark):
+    rows = [("d", 0, None, "La construcción ilegal", "include"), ("d", 1, "", "CONSTRUCCION  ilegal", "include"), ("d", 2, "Ótro", "corto", None), ("d", 3, "otro", None, None), ("e", 0, None, "construccion ilegal", None)]
+    out = {(r.document_id, r.idx): r for r in conflict.duplicate_groups(spark.createDataFrame(rows, "document_id string, idx int, object_raw string, quote string, decision string")).collect()}
+    assert out["d", 0].group_id == out["d", 1].group_id != out["d", 2].group_id == out["d", 3].group_id and out["d", 0].method == "quote_substring" and out["d", 2].method == "tipo_objeto_raw_exact"
+    assert out["e", 0].group_size == 1 and len(out) == 5
 
 
 def test_overlay_and_resume(spark, tmp_path):
@@ -133,7 +186,7 @@ def test_phase_layer(spark):
     parts = spark.createDataFrame([("Mall", "Mall Etapa II"), ("Mall", "Centro Mall Etapa II"), ("Mall", "Loteo Fase 1")], "matrix string, phase string")
     same = spark.createDataFrame([("Centro Mall Etapa II", "Mall Etapa II")], "a string, b string")
     phases, links = layers.phase_layer(projects, parts, same)
-    assert {(r.phase_label, r.phase_number, r.case_id) for r in phases.collect()} == {("Mall Etapa II", "etapa ii", "c1"), ("Loteo Fase 1", "fase 1", None)}
+    assert {(r.phase_label, r.phase_number, r.case_id) for r in phases.collect()} == {("Mall Etapa II", "etapa_ii", "c1"), ("Loteo Fase 1", "fase_1", None)}
     assert sorted((r.project_id, r.relation_type) for r in links.collect()) == [(1, "has_phase"), (1, "has_phase"), (2, "same_phase_alias"), (3, "same_phase_alias"), (4, "represents_phase")]
     for odd in (("Mall", "Twin"), ("Mall", "Nowhere")):
         with pytest.raises(ValueError):
@@ -152,11 +205,29 @@ def test_overrides_fail_closed(spark):
 
 def test_fragments_are_literal():
     text = "El  proyecto «Torre  Ñuñoa-Sur», ½ cuadra de Mall Vivo"
-    assert locate(text, "torre nunoa sur") == (14, 30, "Torre  Ñuñoa-Sur", "whole_name")
-    assert locate(text, "Centro Mall Vivo", None)[2:] == ("Mall Vivo", "part_of_name")
+    assert locate(text, "torre nunoa sur") == (14, 30, "Torre  Ñuñoa-Sur", "normalized_full_mention")
+    assert locate(text, "Centro Mall Vivo", None)[2:] == ("Mall Vivo", "normalized_literal_subphrase")
     assert locate(text, "Proyecto Azul") is None and locate(None, "x") is None and locate("", None) is None
-    body, at = folded(text)
-    assert len(body) == len(at) and at == sorted(at)
+    assert locate("Un edificio ubicado en el sector", "Edificio Ubicado Sector") is None, "no word of it tells a project"
+    assert locate("Alto Parque, luego Bajo Parque", "Nuevo Alto Parque", "Bajo Parque Viejo")[2] == "Bajo Parque", "of equal runs the last"
+    assert [w for w, _, _ in folded_words("Ñuñoa ½x")] == ["nunoa", "1", "2x"]
+
+
+def test_fragments_equal_brute_force():
+    import random
+
+    from quillgraph.functions.fragment import telling
+
+    rng, words = random.Random(3), "torre plan azul verde norte casa ubicado gran lago".split()
+    for _ in range(300):
+        body = [rng.choice(words) for _ in range(rng.randrange(0, 12))]
+        names = [[rng.choice(words) for _ in range(rng.randrange(1, 6))] for _ in range(2)]
+        spot = lambda run, body=body: next((i for i in range(len(body) - len(run) + 1) if body[i : i + len(run)] == run), None)
+        whole = next((n for n in names if spot(n) is not None), None)
+        runs = [n[i:j] for n in names for i in range(len(n)) for j in range(i + 1, len(n) + 1) if telling(n[i:j]) and spot(n[i:j]) is not None]
+        best = whole or max(runs, key=lambda r: (telling(r), len(r), len(" ".join(r)), spot(r)), default=None)
+        got = locate(" ".join(body), *(" ".join(n) for n in names))
+        assert (got and got[2]) == (best and " ".join(best))
 
 
 def test_rank_correlation_chance(spark):
