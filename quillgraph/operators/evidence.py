@@ -110,9 +110,12 @@ def record_errors(level: Column, fields: Column, reason: Column, checked: dict[s
         F.when(none & (F.size(F.coalesce(fields, empty)) > 0), F.array(F.lit("revision.campos_afectados"))).otherwise(empty),
         F.when(none & (F.coalesce(reason, F.lit("")) != ""), F.array(F.lit("revision.motivo"))).otherwise(empty),
     ]
+
+    def empty_but_verified(name: str, field: str):
+        return lambda x, i: F.when(F.coalesce(x[f"{field}_verificada"], F.lit(False)) & (strip(F.coalesce(x[field], F.lit(""))) == ""), F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{field}")))
+
     for name, (items, field) in checked.items():
-        bad = F.transform(items, lambda x, i, name=name, field=field: F.when(F.coalesce(x[f"{field}_verificada"], F.lit(False)) & (strip(F.coalesce(x[field], F.lit(""))) == ""), F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{field}"))))
-        found.append(F.coalesce(F.array_compact(bad), empty))
+        found.append(F.coalesce(F.array_compact(F.transform(items, empty_but_verified(name, field))), empty))
     for name, (value, flag) in (single or {}).items():
         found.append(F.when(F.coalesce(flag, F.lit(False)) & (strip(F.coalesce(value, F.lit(""))) == ""), F.array(F.lit(name))).otherwise(empty))
     return F.concat(*found)

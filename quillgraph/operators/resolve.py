@@ -115,7 +115,7 @@ def decide_pairs(queue: DataFrame, by_id: DataFrame | None = None, by_name: Data
         value = F.when(take, value).otherwise(F.col("_name_same"))
         why = F.when(take, why).otherwise("manual_pair")
         take = take | F.coalesce("_name", F.lit(False))
-    return rows.select(*queue.columns, F.when(take, value).otherwise(F.col("_same")).alias("same"), F.when(take, why).otherwise(F.col("_reason")).alias("reason"))
+    return rows.select(*(c for c in queue.columns if c not in ("same", "reason")), F.when(take, value).otherwise(F.col("_same")).alias("same"), F.when(take, why).otherwise(F.col("_reason")).alias("reason"))
 
 
 def constrained_groups(pairs: list[tuple[str, str, bool | None]], partitions: dict[str, str], baseline: list[tuple[str, ...]] = ()) -> dict[str, str]:

@@ -6,6 +6,7 @@ from quillgraph.functions import text as X
 from quillgraph.functions.fragment import folded_words, locate
 from quillgraph.operators import audit, conflict, evidence, geo, layers, network, resolve
 from quillgraph.operators.components import connected_components
+from quillgraph.plans import graph, records  # noqa: F401
 from quillgraph.plans import queries as plans
 from quillgraph.sources import ingest
 from quillgraph.streaming import resume
