@@ -27,7 +27,7 @@ BAND = 0.1
 
 def _lines(documents: DataFrame, site: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    rows = documents.select(F.col("doc_id"), F.xxhash64(text).alias("of"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     line = F.trim("line")
     return rows.where(line != "").select("doc_id", "of", "site", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit("second"), line).alias("g"))
 

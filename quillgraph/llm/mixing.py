@@ -17,7 +17,8 @@ The classifier is a naive Bayes model over hashed words (``BUCKETS`` features),
 
 Defined results: null text has no words, the prior as posterior, zero tokens and rate 1; domains without mass
 are left out of the fit (their target can't be reached); without labels all documents share one posterior;
-repeated rows count each; other columns are passed on untouched.
+repeated rows count each, and have one rate; labels that contradict each other put a document in each of their
+domains, labels with a null count for none; an empty table gives no rows; other columns are passed on untouched.
 """
 
 from __future__ import annotations
@@ -58,9 +59,8 @@ def words(documents: DataFrame, *columns) -> DataFrame:
 
 
 def bucket() -> F.Column:
-    """A word's feature; words that end in a symbol share that ending's."""
-    ending = F.when(F.right("word", F.lit(1)).isin(*"%&$#*!|"), F.right("word", F.lit(2))).otherwise(F.col("word"))
-    return F.pmod(F.xxhash64(ending), F.lit(BUCKETS)).cast("int")
+    """A word's feature."""
+    return F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
 
 
 class DomainModel:

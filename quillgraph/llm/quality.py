@@ -1,25 +1,28 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document is its UTF-8 bytes. Learned filters of eight bytes run over the whole of it: bytes are embedded by
-a learned table, and each filter is applied at every fourth byte. Beside the filters, fixed match channels
-tell at which share of the places a byte equals the one ``lag`` bytes earlier (repeated words). Activations
-are averaged within overlapping chunks (``CHUNK`` bytes, half of it overlapping); over the chunks that cover
-the document each channel is max-pooled and averaged, and a dense layer combines those into one probability.
-
-It is fitted on the driver with a sample of labelled documents of bounded size (``PER_LABEL`` for each label,
-chosen by a hash of doc_id), from scratch, by Adam with a fixed seed: the same sample gives the same model.
-Scoring reads every document whole, in bounded pieces.
-
-Defined results: null text is empty; an empty text has no chunk and is scored on zeros; without labelled
-rows of both kinds every document scores the share of label 1 (1.0 without any labels); repeated rows each
-get a row. Only text is an input of the score.
+A document is its UTF-8 bytes. Learned filters of eight bytes run over the whole of it: bytes are embedded by a learned
+table, and each filter is applied at every fourth byte. Activations are averaged within overlapping chunks (``CHUNK``
+bytes, half of it overlapping); learned detectors look at each chunk's averages; each detector is max-pooled over the chunks
+that cover the document, and a dense layer combines the maxima into one probability. Nothing else is an input.
+
+All layers are fitted together on the driver, from scratch, by Adam with a fixed seed, on whole texts of a sample of
+labelled documents whose size is bounded: at most ``PER_LABEL`` for each label, chosen by a hash of doc_id among texts of up to
+``TEXT_BYTES`` bytes. The same sample gives the same model (weights are averages over the last third of the steps). Labels
+are learned in equal weight; the probability is then brought to their shares in the table. Scoring reads every document
+whole, in bounded pieces.
+
+Defined results: null text is empty; an empty text is one empty chunk; without labelled rows of both kinds
+every document scores the share of label 1 (1.0 without any labels); labels that are null or contradict each other for a
+document count as given, each; repeated rows each get a row; rows with null doc_id are scored and not held out; an
+empty table gives no rows. Only text is an input of the score.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +31,21 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import labelled_sample
 
-EMBED, WIDTH, STRIDE, FILTERS = 4, 8, 4, 24
+EMBED, WIDTH, STRIDE, FILTERS, DETECTORS = 4, 8, 4, 24, 32
 CHUNK = 512
-STEPS = CHUNK // 2 // STRIDE  # filter places in half a chunk
-LAGS = tuple(range(2, 22))
+HALF = CHUNK // 2
+STEPS = HALF // STRIDE  # filter places in half a chunk
 #: Bytes that a half chunk is averaged over at least, so that a few words can't make an extreme average.
 LEAST = 128
-PER_LABEL = 400
-EPOCHS = 12
+#: Bounds of the sample that the network is fitted on.
+PER_LABEL = 2000
+TEXT_BYTES = 1 << 18
+#: Steps of the fit, and texts of each label in one.
+FIT_STEPS, FIT_BATCH = 600, 12
 THRESHOLD = 0.7
 #: Bytes scored together, a multiple of half a chunk.
 PIECE = 1 << 20
+LAYERS = ("embed", "filters", "bias", "detectors", "shift", "dense", "offset")
 
 
 @dataclass
@@ -46,182 +53,130 @@ class Network:
     embed: np.ndarray  # 256 x EMBED
     filters: np.ndarray  # WIDTH * EMBED x FILTERS
     bias: np.ndarray
-    dense: np.ndarray  # 2 * (FILTERS + 1)
-    offset: float
-    mean: np.ndarray
-    scale: np.ndarray
+    detectors: np.ndarray  # FILTERS x DETECTORS
+    shift: np.ndarray
+    dense: np.ndarray
+    offset: np.ndarray  # of one number
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(FILTERS, np.float32))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(FILTERS, np.float32))
     constant: float | None = None
 
-    def halves(self, data: np.ndarray) -> np.ndarray:
-        """Channel averages over each half chunk of the bytes (the last may be shorter)."""
-        n = len(data)
-        half = CHUNK // 2
-        count = -(-n // half)
-        padded = np.zeros(count * half + WIDTH, np.uint8)
-        padded[:n] = data
+    @classmethod
+    def new(cls, rng: np.random.Generator) -> Network:
+        made = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
+        return cls(
+            made(256, EMBED, scale=0.5), made(WIDTH * EMBED, FILTERS, scale=1 / math.sqrt(WIDTH * EMBED)), np.zeros(FILTERS, np.float32),
+            made(FILTERS, DETECTORS, scale=1 / math.sqrt(FILTERS)), np.full(DETECTORS, 0.1, np.float32), made(DETECTORS, scale=0.3), np.zeros(1, np.float32),
+        )
+
+    def convolve(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Padded bytes, their embedding, where filters are active, bytes averaged over, and the averages by half chunk (the last may be shorter)."""
+        n = max(1, len(data))
+        count = -(-n // HALF)
+        padded = np.zeros(count * HALF + WIDTH, np.uint8)
+        padded[: len(data)] = data
         x = self.embed[padded].reshape(-1, STRIDE * EMBED)
         places = count * STEPS
         act = x[:places] @ self.filters[: STRIDE * EMBED]
         act += x[1 : places + 1] @ self.filters[STRIDE * EMBED :]
         act += self.bias
+        live = act > 0
         np.maximum(act, 0, out=act)
-        valid = sizes(n, count)
-        filters = act.reshape(count, STEPS, FILTERS).sum(1) / (valid // STRIDE)[:, None]
-        return np.concatenate([filters, matches(data, count)[:, None]], 1)
+        size = np.clip(n - np.arange(count) * HALF, LEAST, HALF) // STRIDE
+        return padded, x, live, size, act.reshape(count, STEPS, FILTERS).sum(1) / size[:, None].astype(np.float32)
+
+    def chunks(self, halves: np.ndarray) -> np.ndarray:
+        return (halves[:-1] + halves[1:]) / 2 if len(halves) > 1 else halves
+
+    def detect(self, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' scaled averages, and each detector's value for each chunk."""
+        u = (self.chunks(halves) - self.mean) / self.scale
+        return u, u @ self.detectors + self.shift
+
+    def halves(self, data: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.convolve(data[i : i + PIECE])[4] for i in range(0, max(1, len(data)), PIECE)])
 
     def pool(self, data: np.ndarray) -> np.ndarray:
-        """The document's features: maxima and averages over overlapping chunks of two halves each."""
-        if not len(data):
-            return np.zeros(2 * (FILTERS + 1), np.float32)
-        parts = [self.halves(data[i : i + PIECE]) for i in range(0, len(data), PIECE)]
-        halves = np.concatenate(parts)
-        chunks = (halves[:-1] + halves[1:]) / 2 if len(halves) > 1 else halves
-        return np.concatenate([chunks.max(0), chunks.mean(0)])
+        """Each detector's maximum over the chunks that cover the document."""
+        return np.maximum(self.detect(self.halves(data))[1].max(0), 0)
 
     def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        z = ((self.pool(data) - self.mean) / self.scale) @ self.dense + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def sizes(n: int, count: int) -> np.ndarray:
-    """Bytes that each half chunk is averaged over."""
-    half = CHUNK // 2
-    return np.clip(n - np.arange(count) * half, LEAST, half)
-
-
-def matches(data: np.ndarray, count: int) -> np.ndarray:
-    """For each half chunk the largest share, over the lags, of bytes that equal the one so far before."""
-    half = CHUNK // 2
-    best = np.zeros(count, np.float32)
-    size = sizes(len(data), count)
-    for lag in LAGS:
-        same = np.zeros(count * half, np.uint8)
-        np.equal(data[lag:], data[:-lag], out=same[lag : len(data)].view(bool)) if len(data) > lag else None
-        np.maximum(best, same.reshape(count, half).sum(1, dtype=np.uint16) / size, out=best)
-    return best
-
-
-def _forward_backward(net: Network, docs: list[np.ndarray], labels: np.ndarray, grad: bool = True):
-    """Loss and gradients over a batch; pooling and dense layer by hand, the filters through their chunk averages."""
-    feats, cache = [], []
-    half = CHUNK // 2
-    for data in docs:
-        n = max(1, len(data))
-        count = -(-n // half)
-        padded = np.zeros(count * half + WIDTH, np.uint8)
-        padded[: len(data)] = data
-        x = net.embed[padded].reshape(-1, STRIDE * EMBED)
-        places = count * STEPS
-        act = x[:places] @ net.filters[: STRIDE * EMBED] + x[1 : places + 1] @ net.filters[STRIDE * EMBED :] + net.bias
-        live = act > 0
-        size = sizes(n, count) // STRIDE
-        halves = np.concatenate([np.where(live, act, 0).reshape(count, STEPS, FILTERS).sum(1) / size[:, None], matches(data, count)[:, None]], 1)
-        chunks = (halves[:-1] + halves[1:]) / 2 if count > 1 else halves
-        top = chunks.argmax(0)
-        feats.append(np.concatenate([chunks.max(0), chunks.mean(0)]))
-        cache.append((padded, x, live, size, count, top, len(chunks)))
-    feats = np.array(feats)
-    z = ((feats - net.mean) / net.scale) @ net.dense + net.offset
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = -np.mean(labels * np.log(p + 1e-9) + (1 - labels) * np.log(1 - p + 1e-9))
-    if not grad:
-        return loss, feats, p
-    dz = (p - labels) / len(docs)
-    out = {"dense": ((feats - net.mean) / net.scale).T @ dz, "offset": dz.sum(), "embed": np.zeros_like(net.embed), "filters": np.zeros_like(net.filters), "bias": np.zeros_like(net.bias)}
-    for k, (padded, x, live, size, count, top, n_chunks) in enumerate(cache):
-        df = dz[k] * net.dense / net.scale
-        width = FILTERS + 1
-        dchunks = np.tile(df[width:] / n_chunks, (n_chunks, 1))
-        dchunks[top, np.arange(width)] += df[:width]
-        dhalves = np.zeros((count, width))
-        if count > 1:
-            dhalves[:-1] += dchunks / 2
-            dhalves[1:] += dchunks / 2
+        return _sigmoid(float(self.pool(data) @ self.dense + self.offset[0]))
+
+    def learn(self, data: np.ndarray, label: float, weight: float, out: dict[str, np.ndarray]) -> None:
+        """Adds the gradients of one text's loss to ``out``; only the chunks that are a detector's maximum pass any on."""
+        padded, x, live, size, halves = self.convolve(data)
+        u, found = self.detect(halves)
+        top = found.argmax(0)
+        pooled = np.maximum(found.max(0), 0)
+        d = np.float32(weight * (_sigmoid(float(pooled @ self.dense + self.offset[0])) - label))
+        out["offset"] += d
+        out["dense"] += d * pooled
+        dpool = d * self.dense * (pooled > 0)
+        out["shift"] += dpool
+        out["detectors"] += (u[top] * dpool[:, None]).T
+        dchunk = self.detectors.T * dpool[:, None] / self.scale
+        dhalf = np.zeros_like(halves)
+        if len(halves) > 1:
+            np.add.at(dhalf, top, dchunk / 2)
+            np.add.at(dhalf, top + 1, dchunk / 2)
         else:
-            dhalves += dchunks
-        dact = np.repeat((dhalves[:, :FILTERS] / size[:, None]).astype(np.float32), STEPS, 0) * live
-        places = count * STEPS
-        out["filters"][: STRIDE * EMBED] += x[:places].T @ dact
-        out["filters"][STRIDE * EMBED :] += x[1 : places + 1].T @ dact
-        out["bias"] += dact.sum(0)
-        dx = np.zeros_like(x)
-        dx[:places] += dact @ net.filters[: STRIDE * EMBED].T
-        dx[1 : places + 1] += dact @ net.filters[STRIDE * EMBED :].T
-        flat = dx.reshape(-1, EMBED)
-        for e in range(EMBED):
-            out["embed"][:, e] += np.bincount(padded[: len(flat)], flat[:, e], minlength=256)
-    return loss, feats, out
-
-
-def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Fit the network from scratch on whole texts."""
+            dhalf[0] = dchunk.sum(0)
+        for h in np.flatnonzero(dhalf.any(1)):
+            at = slice(h * STEPS, (h + 1) * STEPS)
+            dact = dhalf[h] / size[h] * live[at]
+            xs = x[h * STEPS : (h + 1) * STEPS + 1]
+            out["filters"][: STRIDE * EMBED] += xs[:-1].T @ dact
+            out["filters"][STRIDE * EMBED :] += xs[1:].T @ dact
+            out["bias"] += dact.sum(0)
+            dx = np.zeros_like(xs)
+            dx[:-1] += dact @ self.filters[: STRIDE * EMBED].T
+            dx[1:] += dact @ self.filters[STRIDE * EMBED :].T
+            flat = dx.reshape(-1, EMBED)
+            own = padded[h * HALF : h * HALF + len(flat)]
+            for e in range(EMBED):
+                out["embed"][:, e] += np.bincount(own, flat[:, e], minlength=256)
+
+
+def _sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+
+def fit(texts: list[str | None], labels: list[int], steps: int = FIT_STEPS, seed: int = 7, share: float | None = None) -> Network:
+    """Fit the network from scratch on whole texts; ``share`` of label 1 in the table (by default in ``labels``) sets the level of its probabilities."""
     rng = np.random.default_rng(seed)
+    net = Network.new(rng)
     y = np.array(labels, np.float64)
-    width = 2 * (FILTERS + 1)
-    net = Network(
-        rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
-        rng.normal(0, 1 / np.sqrt(WIDTH * EMBED), (WIDTH * EMBED, FILTERS)).astype(np.float32),
-        np.zeros(FILTERS, np.float32),
-        rng.normal(0, 0.1, width).astype(np.float32),
-        0.0,
-        np.zeros(width, np.float32),
-        np.ones(width, np.float32),
-    )
     if len(set(labels)) < 2:
         net.constant = float(y.mean()) if len(y) else 1.0
         return net
     docs = [np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
-    # labels are learned in equal weight: the rarer one is drawn more often
     by = [np.flatnonzero(y == v) for v in (0, 1)]
-    _, feats, _ = _forward_backward(net, docs, y, grad=False)
-    net.mean, net.scale = feats.mean(0).astype(np.float32), (feats.std(0) + 1e-2).astype(np.float32)
-    moments = {k: [0.0, 0.0] for k in ("embed", "filters", "bias", "dense", "offset")}
-    step, batch = 0, 16
-    rounds = epochs * max(len(b) for b in by) * 2 // (2 * batch)
-    for r in range(max(rounds, 60)):
-        pick = np.concatenate([rng.choice(b, batch) for b in by])
-        # a long document is learned from whole chunks at a random place, short ones whole
-        part = [_window(docs[i], rng) for i in pick]
-        _, _, grads = _forward_backward(net, part, y[pick])
-        step += 1
-        rate = 0.02 * (1 - r / max(rounds, 60)) + 1e-4
+    seen = np.concatenate([net.chunks(net.convolve(docs[i])[4]) for own in by for i in own[:200]])
+    net.mean, net.scale = seen.mean(0), seen.std(0) + np.float32(1e-2)
+    moments = {k: [0.0, 0.0] for k in LAYERS}
+    late = {k: 0.0 for k in LAYERS}
+    for r in range(steps):
+        pick = np.concatenate([rng.choice(own, FIT_BATCH) for own in by])  # the rarer label is drawn more often
+        grads = {k: np.zeros_like(getattr(net, k)) for k in LAYERS}
+        for i in pick:
+            net.learn(docs[i], y[i], 1 / len(pick), grads)
+        rate = 0.02 * (1 - r / steps) + 1e-4
         for name, g in grads.items():
             m = moments[name]
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * np.square(g)
-            delta = rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-7)
-            value = getattr(net, name) - delta
-            setattr(net, name, value.astype(np.float32) if isinstance(value, np.ndarray) else float(value))
-    return _finish(net, docs, y)
-
-
-def _window(data: np.ndarray, rng: np.random.Generator, most: int = 16 * CHUNK) -> np.ndarray:
-    if len(data) <= most:
-        return data
-    at = int(rng.integers(0, len(data) - most))
-    return data[at : at + most]
-
-
-def _finish(net: Network, docs: list[np.ndarray], y: np.ndarray) -> Network:
-    """Refit the dense layer on the features of whole documents (logistic regression, slight ridge)."""
-    feats = np.array([net.pool(d) for d in docs])
-    net.mean, net.scale = feats.mean(0).astype(np.float32), (feats.std(0) + 1e-3).astype(np.float32)
-    x = np.concatenate([(feats - net.mean) / net.scale, np.ones((len(y), 1))], 1)
-    weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 0.5)
-    ridge[-1] = 1e-6
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = weight * np.maximum(p * (1 - p), 1e-6)
-        delta = np.linalg.solve((x * s[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - y)) + ridge * w)
-        w -= delta
-        if np.abs(delta).max() < 1e-6:
-            break
-    net.dense, net.offset = w[:-1].astype(np.float32), float(w[-1])
+            delta = rate * (m[0] / (1 - 0.9 ** (r + 1))) / (np.sqrt(m[1] / (1 - 0.99 ** (r + 1))) + 1e-7)
+            setattr(net, name, (getattr(net, name) - delta).astype(np.float32))
+            if r >= steps * 2 // 3:
+                late[name] = late[name] + getattr(net, name)
+    for name, total in late.items():
+        setattr(net, name, (total / (steps - steps * 2 // 3)).astype(np.float32))
+    share = min(max(y.mean() if share is None else share, 0.01), 0.99)
+    net.offset = net.offset + np.float32(math.log(share / (1 - share)))
     return net
 
 
@@ -233,8 +188,11 @@ def fold(doc_id: F.Column) -> F.Column:
 def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Network:
     """Fit on at most ``per_label`` documents of each label outside the held-out fold."""
     own = labels.where(fold(F.col("doc_id")) != 2)
-    rows = labelled_sample(documents, own, "quality", per_label).orderBy("doc_id", "text").limit(4 * per_label).collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    counts = own.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
+    short = documents.where(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) <= TEXT_BYTES)
+    # ids are bounded; of documents that share an id one is taken
+    rows = labelled_sample(short, own, "quality", per_label).groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id", "label").collect()
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], share=counts[0] / max(1, counts[0] + counts[1]))
 
 
 def score(documents: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
