@@ -271,7 +271,7 @@ with x as (select s_suppkey, s_suppkey % 9 as k, s_nationkey as n from supplier)
 y as (select *, case when n % 5 = 4 then false else true end as located from x)
 -- places: Villa de NATION_i for each i; for i in 0..4 a namesake in another area; those with i % 5 = 4 without coordinates
 select s_suppkey, n::int as place_id,
-  case k when 0 then 0 when 1 then 0 when 2 then 3 when 3 then 2 when 4 then 1 when 5 then 0 when 7 then 0 end::int as position,
+  case k when 0 then 0 when 1 then 0 when 2 then 3 when 3 then 3 when 4 then 1 when 5 then 0 when 7 then 0 end::int as position,
   case k when 0 then 'literal' when 1 then 'literal_de_variant' when 2 then 'fragment' when 3 then 'fragment' when 4 then 'fragment' when 5 then 'literal' when 7 then 'literal' end as method,
   (case when n < 5 then 2 else 1 end)::bigint as n_before, 'neighborhood' as precision
 from y where located and (k = 5 or (n >= 5 and k in (0, 1, 2, 3, 4, 7)))""")
