@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import norm_plain, stable_id, stage_tokens
+from quillgraph.functions.text import norm_plain, stable_id, stage_tokens, strip
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.conflict import require_empty
 
@@ -26,7 +26,7 @@ def phase_layer(projects: DataFrame, parts: DataFrame, same: DataFrame) -> tuple
     the member that tells its stage, the shortest, then the first by name; its id derives from the smallest member.
     """
     used = parts.select(F.explode(F.array("matrix", "phase")).alias("name")).unionByName(same.select(F.explode(F.array("a", "b")).alias("name"))).distinct()
-    known = projects.join(F.broadcast(used), "name", "left_semi").select("name", "project_id", "case_id")
+    known = projects.join(used, "name", "left_semi").select("name", "project_id", "case_id")
     require_empty(used.join(known, "name", "left_anti"), "a phase names a project that does not exist")
     require_empty(known.groupBy("name").count().where("count > 1"), "a phase names a project ambiguously")
     ids = lambda c, to: known.select(F.col("name").alias(c), F.col("project_id").alias(to))
@@ -52,10 +52,10 @@ def relation_errors(relations: DataFrame, types: DataFrame, projects: DataFrame)
     ids = projects.select("project_id").distinct().withColumn("_known", F.lit(True))
     told = lambda c: ids.select(F.col("project_id").alias(c), F.col("_known").alias(f"_{c}"))
     rows = relations.join(told(key[0]), key[0], "left").join(told(key[2]), key[2], "left")
-    rows = rows.join(F.broadcast(types.select("relation_type").distinct().withColumn("_typed", F.lit(True))), "relation_type", "left")
+    rows = rows.join(types.select("relation_type").distinct().withColumn("_typed", F.lit(True)), "relation_type", "left")
     rows = rows.join(relations.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), key, "left")
     texts = ("evidence_url", "source_title", "source_locator", "evidence_quote", "source_accessed_at")
-    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    blank = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
     rules: dict[str, Column] = {
         "self": F.col(key[0]) == F.col(key[2]),
         "repeated": F.col("_n") > 1,
@@ -89,13 +89,13 @@ def effective_adjudications(base: DataFrame, overrides: DataFrame) -> DataFrame:
     require_empty(met.where(~F.col("_was").eqNullSafe(F.lit(NO_VERDICT))), "an override replaces a verdict or names an unknown pair")
     merge = F.col("identity_class").eqNullSafe(F.lit(MERGE))
     apart = F.coalesce(F.col("identity_class").isin(*KEPT_APART), F.lit(False))
-    sound = F.coalesce(F.col("confidence").isin("high", "medium") & (F.trim("rationale") != ""), F.lit(False))
+    sound = F.coalesce(F.col("confidence").isin("high", "medium") & (strip(F.col("rationale")) != ""), F.lit(False))
     require_empty(overrides.where(~(merge | apart)), "an override has an unknown class")
     require_empty(overrides.where(merge & ~F.col("confidence").eqNullSafe(F.lit("high"))), "a merge needs high confidence")
     require_empty(overrides.where(~sound), "an override lacks confidence or rationale")
     columns = ["identity_class", "confidence", "rationale"]
     new = overrides.select("pair_id", F.lit(True).alias("_over"), *(F.col(c).alias(f"_{c}") for c in columns))
-    rows = base.join(F.broadcast(new), "pair_id", "left")
+    rows = base.join(new, "pair_id", "left")
     return rows.select("pair_id", *(F.when(F.col("_over"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns), F.coalesce("_over", F.lit(False)).alias("overridden"))
 
 
@@ -108,7 +108,7 @@ def adjudication_errors(anchors: DataFrame, texts: DataFrame) -> DataFrame:
         "no_document": ~there,
         "other_text": there & ~F.sha2("_text", 256).eqNullSafe(F.col("text_sha256")),
         "other_url": there & ~F.col("_url").eqNullSafe(F.col("url")),
-        "no_quote": F.trim(F.coalesce("quote", F.lit(""))) == "",
+        "no_quote": strip(F.coalesce("quote", F.lit(""))) == "",
         "not_literal": there & ~F.coalesce(F.contains("_text", F.col("quote")), F.lit(False)),
     }
     return rows.select("pair_id", "side", "document_id", F.array_compact(F.array(*(F.when(broken, name) for name, broken in rules.items()))).alias("errors")).where(F.size("errors") > 0)

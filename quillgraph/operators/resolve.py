@@ -298,7 +298,7 @@ def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def provenance(kind: str, *parts: str) -> Column:
-    """A reference to where a decision is from: its kind, its columns as JSON, and a hash of both."""
+    """A reference to where a decision is from: its kind and a hash of that and its columns as JSON."""
     body = F.to_json(F.struct(*parts))
     return F.concat_ws(":", F.lit(kind), F.substring(F.sha2(F.concat_ws("|", F.lit(kind), body), 256), 1, 16))
 

@@ -68,7 +68,7 @@ def read_table(spark: SparkSession, name: str, jdbc: dict[str, str] | None = Non
 
 def read_reviewed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The documents of a reviewed package, a JSON object with the list 'documentos'; without it it raises."""
-    whole = spark.read.option("multiLine", True).schema(StructType().add("documentos", "array<string>")).json(path)
+    whole = spark.read.option("multiLine", True).schema("documentos array<string>").json(path)
     if whole.where("documentos is null").limit(1).count() or whole.isEmpty():
         raise ValueError("the package has no list 'documentos'")
     return whole.select(F.explode("documentos").alias("d")).select(F.from_json("d", schema).alias("d")).select("d.*")
