@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -180,6 +181,93 @@ def with_retries(provider: Callable[[dict], dict], retryable: Callable[[dict], b
     return ask
 
 
+class Pace:
+    """Waiting times of a provider that blocks fast callers: a base with jitter, longer after errors; a pause when they don't end; and an end.
+
+    ``errors`` count up to ``most_errors``, one less after a success. When they reach it, the caller pauses (longer each time, at
+    most ``longest``) and they count anew; after ``most_pauses`` pauses it raises. One instance serves one task.
+    """
+
+    def __init__(self, base: float = 12.0, jitter: float = 6.0, step: float = 10.0, most_errors: int = 5, pause: float = 300.0, longest: float = 1800.0, most_pauses: int = 30, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time):
+        self.base, self.jitter, self.step, self.most_errors, self.pause, self.longest, self.most_pauses = base, jitter, step, most_errors, pause, longest, most_pauses
+        self.sleep, self.clock = sleep, clock
+        self.errors, self.pauses, self.last = 0, 0, float("-inf")
+
+    def wait(self) -> None:
+        """Until the next call may be made."""
+        due = self.last + self.base + random.uniform(0, self.jitter) + self.step * self.errors
+        if due > self.clock():
+            self.sleep(due - self.clock())
+        self.last = self.clock()
+
+    def tell(self, ok: bool) -> None:
+        """How the call went."""
+        if ok:
+            self.errors = max(0, self.errors - 1)
+            return
+        self.errors += 1
+        if self.errors < self.most_errors:
+            return
+        self.pauses += 1
+        if self.pauses > self.most_pauses:
+            raise RuntimeError(f"the provider has failed through {self.most_pauses} pauses")
+        self.sleep(min(self.pause * self.pauses, self.longest))
+        self.errors = 0
+
+
+def paced(provider: Callable[[dict], dict], pace: Pace, failed: Callable[[dict], bool]) -> Callable[[dict], dict]:
+    """A provider that is asked at a pace."""
+
+    def ask(row: dict) -> dict:
+        pace.wait()
+        answer = provider(row)
+        pace.tell(not failed(answer))
+        return answer
+
+    return ask
+
+
+def run_capped(rows: DataFrame, key: str, provider: Callable[[dict], dict], schema: str, folder: str, workers: int, cap: float) -> float:
+    """Ask a provider for rows in waves of ``workers``, in the order of ``key``, until what it has cost reaches ``cap``; gives the cost.
+
+    Each wave's answers (with status and cost) are written to the three sinks before the next begins, and rows that the ok sink has
+    are not asked for again, so that a run that broke off goes on.
+    """
+    spark = rows.sparkSession
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name == key)
+
+    def done() -> DataFrame:
+        try:
+            return spark.read.schema(kind).json(f"{folder}/ok")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], kind)
+
+    spent, last = 0.0, None
+    while spent < cap:
+        left = rows.join(done(), key, "left_anti")
+        wave = (left if last is None else left.where(F.col(key) > last)).orderBy(key).limit(workers)
+        answers = with_provider(wave.repartition(workers), provider, schema).checkpoint()
+        about = answers.agg(F.count(F.lit(1)), F.sum("cost"), F.max(key)).first()
+        if not about[0]:
+            break
+        write_split(answers, folder)
+        spent, last = spent + float(about[1] or 0.0), about[2]
+    return spent
+
+
+def read_env(path: str) -> dict[str, str]:
+    """Settings of a file of NAME=value lines on the driver; blank lines and comments don't count."""
+    found = {}
+    with open(path, encoding="utf-8") as file:
+        for line in file:
+            name, sign, value = line.strip().partition("=")
+            if sign and not name.startswith("#"):
+                found[name.strip()] = value.strip()
+    return found
+
+
 def page_fetcher(get: Callable[[str], tuple[int, bytes]]) -> Callable[[dict], dict]:
     """A provider of pages from a function that gets (status, body) of a URL or raises OSError: status ok, http_error or network_error."""
 
@@ -254,3 +342,20 @@ def write_split(rows: DataFrame, folder: str, status: str = "status") -> None:
 def write_table(rows: DataFrame, path: str) -> None:
     """Drop and rebuild."""
     rows.write.mode("overwrite").parquet(path)
+
+
+def publish_tables(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> str:
+    """Write several tables as one version, which readers see whole or not at all: tables first, then the pointer that names them. Gives the version."""
+    version = uuid.uuid4().hex
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{version}/{name}")
+    write_report(spark, spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>"), f"{folder}/current.json")
+    return version
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the version that is published."""
+    now = spark.read.schema("version string, tables array<string>").option("multiLine", True).json(f"{folder}/current.json").first()
+    if now is None or name not in now["tables"]:
+        raise ValueError(f"{name} is not published")
+    return spark.read.parquet(f"{folder}/{now['version']}/{name}")

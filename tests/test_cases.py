@@ -431,3 +431,45 @@ def test_presentation_fallbacks(spark):
     events = frame(spark, [("e1", "2020", "x", "t")], "event_id string, fecha string, descripcion string, tipo_hito string")
     assert present.linked_events(links, events).count() == 1
     assert [r.conflict_id for r in present.conflicts_in_order(frame(spark, [("a", 1), ("b", 3), ("c", 3)], "conflict_id string, n_case_ids int")).collect()] == ["b", "c", "a"]
+
+
+def test_pace_and_cap(spark, tmp_path):
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    pace = ingest.Pace(jitter=0.0, most_errors=3, most_pauses=1, sleep=sleep, clock=lambda: now[0])
+    answers = iter([True, False, False])
+    ask = ingest.paced(lambda row: {"ok": next(answers)}, pace, lambda a: not a["ok"])
+    for _ in range(3):
+        ask({})
+    assert slept == [12.0, 22.0] and pace.errors == 2
+    pace.tell(False)
+    assert slept[-1] == 300.0 and pace.errors == 0
+    for _ in range(2):
+        pace.tell(False)
+    with pytest.raises(RuntimeError):
+        pace.tell(False)
+
+    rows = frame(spark, [(i,) for i in range(10)], "k int")
+    provider = lambda row: {"k": row["k"], "status": "invalid" if row["k"] == 1 else "ok", "cost": 1.0}
+    run = lambda cap: ingest.run_capped(rows, "k", provider, "k int, status string, cost double", f"{tmp_path}/run", 2, cap)
+    assert run(3.0) == 4.0 and sorted(r.k for r in spark.read.json(f"{tmp_path}/run/ok").collect()) == [0, 2, 3]
+    assert run(100.0) == 7.0 and spark.read.json(f"{tmp_path}/run/ok").count() == 9, "the invalid one is tried again"
+    (tmp_path / "env").write_text("# c\nA = 1\n\nB=x=y\nnothing\n")
+    assert ingest.read_env(str(tmp_path / "env")) == {"A": "1", "B": "x=y"}
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    rows = frame(spark, [(1,)], "k int")
+    ingest.publish_tables(spark, {"a": rows, "b": rows}, f"file://{tmp_path}/v")
+    broken = rows.select(F.raise_error(F.lit("no")).alias("k"))
+    with pytest.raises(Exception, match="no"):
+        ingest.publish_tables(spark, {"a": rows.unionByName(rows), "b": broken}, f"file://{tmp_path}/v")
+    assert ingest.published(spark, f"file://{tmp_path}/v", "a").count() == 1, "the version before stays"
+    ingest.publish_tables(spark, {"a": rows.unionByName(rows)}, f"file://{tmp_path}/v")
+    assert ingest.published(spark, f"file://{tmp_path}/v", "a").count() == 2
+    with pytest.raises(ValueError):
+        ingest.published(spark, f"file://{tmp_path}/v", "b")
