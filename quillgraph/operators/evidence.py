@@ -30,15 +30,15 @@ def literal_in(quote: Column, text: Column) -> Column:
     return F.contains(norm_plain(text), norm_plain(quote))
 
 
-def _against(text: Column, items: Column, made) -> Column:
-    """``made(item, source)`` for each item, with the normalised text made once for all of them."""
-    return F.element_at(F.transform(F.array(norm_plain(text)), lambda source: F.transform(items, lambda x: made(x, source))), 1)
+def _against(source: Column, items: Column, made) -> Column:
+    """``made(item, source)`` for each item, with the source made once for all of them."""
+    return F.element_at(F.transform(F.array(source), lambda own: F.transform(items, lambda x: made(x, own))), 1)
 
 
-def quote_flags(quotes: Column, text: Column) -> Column:
-    """For each quote: long enough and literally in the text."""
+def quote_flags(quotes: Column, text: Column, normal: bool = False) -> Column:
+    """For each quote: long enough and literally in the text (which may be normalised already)."""
     given = F.coalesce(quotes, F.array().cast("array<string>"))
-    return _against(text, given, lambda q, source: F.coalesce((F.length(strip(q)) >= MIN_QUOTE) & F.contains(source, norm_plain(q)), F.lit(False)))
+    return _against(text if normal else norm_plain(text), given, lambda q, source: F.coalesce((F.length(strip(q)) >= MIN_QUOTE) & F.contains(source, norm_plain(q)), F.lit(False)))
 
 
 def sufficient(flags: Column) -> Column:
@@ -58,7 +58,7 @@ def repair_quotes(items: Column, text: Column, field: str = "cita", keep: tuple[
         ok = some & F.contains(source, norm_plain(quote))
         return F.struct(*(x[k].alias(k) for k in keep), F.when(some & ~ok, "").otherwise(quote).alias(field), F.when(some & ~ok, quote).alias(f"{field}_original_modelo"), ok.alias(f"{field}_verificada"))
 
-    return _against(text, items, fix)
+    return _against(norm_plain(text), items, fix)
 
 
 def year_grounded(date: Column, text: Column) -> Column:
@@ -176,14 +176,13 @@ def _low(name: str) -> Column:
     return F.lower(strip(F.coalesce(F.col(name), F.lit(""))))
 
 
-def base_reasons(scope: str, broad: tuple[str, ...], residential: tuple[str, ...], non_real_estate: tuple[str, ...], areas: dict[str, str]) -> Column:
-    """The reasons against a mention, in order: action, object, geography, depth, evidence."""
+def base_reasons(scope: str, broad: tuple[str, ...], residential: tuple[str, ...], non_real_estate: tuple[str, ...], areas: dict[str, str], flags: dict[str, Column]) -> Column:
+    """The reasons against a mention, in order: action, object, geography, depth, evidence (by the ``flags`` of its quotes)."""
     action, kind, obj = _low("accion_contenciosa"), _low("tipo_accion_contenciosa"), _low("tipo_objeto_norm")
     estate, home, relation = _low("es_proyecto_inmobiliario"), _low("es_proyecto_vivienda_inmobiliario"), _low("relacion_inmobiliaria_urbana")
     geo, depth, area = _low("precision_geografica"), _low("profundidad_documentacion_caso"), strip(F.coalesce("comuna", F.lit("")))
     narrow = F.lit(scope == "residencial")
     ok = obj.isin(*(residential if scope == "residencial" else broad)) & ((home == "si") if scope == "residencial" else ((estate == "si") | obj.isin(*non_real_estate)))
-    flags = {label: quote_flags(F.col(f"evidencia_{label}_quotes"), F.col("text")) for label in LABELS}
     rules = [
         F.when((action != "confirmada") | kind.isin("", "ninguna", "incierta"), F.when(action.isin("no", "ninguna"), "sin_accion_contenciosa").otherwise("accion_contenciosa_incierta")),
         F.when(~narrow & (relation == "ocupacion_propiedad_sin_desarrollo"), "objeto_existente_sin_vinculo_urbano")
@@ -228,14 +227,15 @@ def in_area(areas: dict[str, str]) -> Column:
     return (_low("precision_geografica") != "fuera_de_area") & F.when(F.size(parts) > 0, known | coded).otherwise(coded | any_name)
 
 
-def short_quote_flags(areas: dict[str, str]) -> Column:
-    """For each geographic quote: literal in a source of ``SHORT_QUOTE_SOURCE`` characters or more, and the name of one of the mention's places, in the area."""
-    source = norm_plain(F.col("text"))
+def short_quote_flags(areas: dict[str, str], source: Column, inside: Column) -> Column:
+    """For each geographic quote: literal in a source (normalised here) of ``SHORT_QUOTE_SOURCE`` characters or more, and the name of one of the mention's places, in the area."""
     places = F.transform(F.coalesce(F.col("lugares_mencionados"), F.array().cast("array<struct<nombre:string,tipo:string,codigo_comuna_ine:string>>")), lambda x: norm_key(x["nombre"]))
     anchors = F.filter(F.concat(places, F.transform(split_compound(F.col("comuna")), norm_key)), lambda n: n != "")
     long = F.length(F.coalesce("text", F.lit(""))) >= SHORT_QUOTE_SOURCE
     quotes = F.coalesce(F.col("evidencia_geografica_quotes"), F.array().cast("array<string>"))
-    return F.transform(quotes, lambda q: F.coalesce(long & in_area(areas) & (strip(q) != "") & F.contains(source, norm_plain(q)) & F.array_contains(anchors, norm_key(strip(q))), F.lit(False)))
+    named = _against(anchors, quotes, lambda q, own: (strip(q) != "") & F.array_contains(own, norm_key(strip(q))))
+    literal = _against(source, quotes, lambda q, own: F.contains(own, norm_plain(q)))
+    return F.when(long & inside, F.zip_with(named, literal, lambda a, b: F.coalesce(a & b, F.lit(False)))).otherwise(F.transform(quotes, lambda q: F.lit(False)))
 
 
 def scope_gate(mentions: DataFrame, scope: str, broad: tuple[str, ...], residential: tuple[str, ...], non_real_estate: tuple[str, ...], areas: dict[str, str]) -> DataFrame:
@@ -254,8 +254,10 @@ def scope_gate(mentions: DataFrame, scope: str, broad: tuple[str, ...], resident
     none = F.array().cast("array<string>")
     given = F.coalesce("decision", F.lit("uncertain"))
     gated = given == "include"
-    flags = {label: quote_flags(F.col(f"evidencia_{label}_quotes"), F.col("text")) for label in LABELS}
-    rows = mentions.withColumns({"_base": base_reasons(scope, broad, residential, non_real_estate, areas), "_short": short_quote_flags(areas), "_in": in_area(areas), **{f"_{k}": f for k, f in flags.items()}})
+    # the source is normalised once, quotes are looked at once
+    body = mentions.withColumns({"_body": norm_plain(F.col("text")), "_in": in_area(areas)})
+    checked = body.withColumns({f"_{k}": quote_flags(F.col(f"evidencia_{k}_quotes"), F.col("_body"), normal=True) for k in LABELS} | {"_short": short_quote_flags(areas, F.col("_body"), F.col("_in"))}).drop("_body")
+    rows = checked.withColumn("_base", base_reasons(scope, broad, residential, non_real_estate, areas, {k: F.col(f"_{k}") for k in LABELS}))
     enough = {k: sufficient(F.col(f"_{k}")) for k in LABELS}
     accepted = F.exists("_short", lambda f: f)
     geo = enough["geografica"] | accepted
