@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, shared_path
+from quillgraph.llm.common import materialize, shared_path, tidy
 from quillgraph.llm.storage import NewFile, open_file
 
 TOP = 10
@@ -309,7 +309,7 @@ def build_index(vectors: DataFrame, top: int = TOP, shard: int | None = None) ->
     placed = nodes.withColumn("dim", F.size("v")).join(dims, "dim").withColumn("shard", F.concat_ws("-", "dim", F.pmod(F.xxhash64("v"), F.col("shards"))))
     # a hash order is a random insertion order
     rows = placed.select("shard", F.xxhash64("v", F.lit(5)).alias("o"), "v", "ids").repartition("shard").sortWithinPartitions("shard", "o").select("shard", "v", "ids")
-    return folder, materialize(rows.mapInArrow(_build(folder), "shard string, file string"))
+    return folder, materialize(rows.mapInArrow(tidy(_build(folder)), "shard string, file string"))
 
 
 def _write_queries(folder: str):
@@ -369,7 +369,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard: int |
     graphs, shards = build_index(vectors, top, shard) if index is None else index
     folder = shared_path(spark, "ann-queries")
     asked = queries.dropDuplicates(["vec_id", "v"]).select(F.size("v").alias("dim"), "vec_id", "v").sortWithinPartitions("dim")
-    written = materialize(asked.mapInArrow(_write_queries(folder), "dim int, block string"))
+    written = materialize(asked.mapInArrow(tidy(_write_queries(folder)), "dim int, block string"))
     # a name for each block, BLOCK queries or a partition's rest
     blocks: dict[int, list[str]] = {}
     for r in written.orderBy("dim", "block").collect():
@@ -378,7 +378,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard: int |
     # where there are fewer shards than partitions, a shard's blocks are shared out over several tasks
     parts = max(1, min(most, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, tasks))))
     visits = shards.select("shard", "file", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(parts).alias("parts")).repartition(max(1, tasks * parts))
-    found = visits.mapInArrow(_search(graphs, folder, blocks, top), "query_id long, vec_id long, score double")
+    found = visits.mapInArrow(tidy(_search(graphs, folder, blocks, top)), "query_id long, vec_id long, score double")
     nearer = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = nearer.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= top)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,5 +73,26 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(BATCH_KEY, str(most))
 
 
+def release_memory() -> None:
+    """Give memory that Python, Arrow and the C library hold for later use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over Arrow batches whose worker holds no more than it needs when its task ends: workers live on and share an executor's memory with what comes next."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return tidied
+
+
 def utf8(value: str | None) -> bytes:
     return value.encode("utf-8", "surrogatepass") if value else b""

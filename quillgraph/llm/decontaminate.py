@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import tidy
+
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -211,7 +213,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, containment: float =
                 share = pa.array([f[2] / f[3] for f in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*columns, share], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        part = docs.mapInArrow(search, schema)
+        part = docs.mapInArrow(tidy(search), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -229,5 +231,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, containment: f
                     clean[[first + t for t, _, _ in held.value.search(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(keep, documents.schema)
+        out = out.mapInArrow(tidy(keep), documents.schema)
     return out

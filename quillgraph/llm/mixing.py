@@ -47,6 +47,8 @@ BOUND = 1e-3
 WIDE = 100.0
 #: A domain with a smaller share of all tokens is without mass: sums of doubles can't hold it beside the others.
 LEAST = 1e-9
+#: Rows that go which are broadcast (16 bytes each); beside more, documents are shuffled.
+BROADCAST_ROWS = 300_000
 #: Reductions, by 4, of a Newton step; what is reached then is taken as the next step.
 CUTS = 8
 SHARES = {"low": 0.05, "toxic": 0.05, "clean": 0.90}
@@ -231,6 +233,7 @@ def thin(documents: DataFrame, labels: DataFrame, factors: dict[str, float]) ->
     members = DomainModel.fit(documents, labels).members(documents)
     free, share = thinned(members, factors)
     draw = F.pmod(F.xxhash64("doc_id", "_of", F.lit("mixing")), F.lit(1 << 40)) / float(1 << 40)
-    gone = members.where(free & (draw >= share)).select(F.col("doc_id").alias("__qg_id"), F.col("_of").alias("__qg_gone")).distinct()
+    gone = materialize(members.where(free & (draw >= share)).select(F.col("doc_id").alias("__qg_id"), F.col("_of").alias("__qg_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # documents stay where they are beside few
     same = documents["doc_id"].eqNullSafe(F.col("__qg_id")) & F.xxhash64(documents["text"]).eqNullSafe(F.col("__qg_gone"))
     return documents.join(gone, same, "left_anti")

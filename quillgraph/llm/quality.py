@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import labelled_sample
+from quillgraph.llm.common import labelled_sample, tidy
 
 EMBED, WIDTH, STRIDE, FILTERS, DETECTORS = 4, 8, 4, 24, 32
 CHUNK = 512
@@ -39,7 +39,7 @@ STEPS = HALF // STRIDE  # filter places in half a chunk
 LEAST = 128
 #: Bounds of the sample that the network is fitted on.
 PER_LABEL = 2000
-TEXT_BYTES = 1 << 18
+TEXT_BYTES = 1 << 16
 #: Steps of the fit, and texts of each label in one.
 FIT_STEPS, FIT_BATCH = 600, 12
 THRESHOLD = 0.7
@@ -205,7 +205,7 @@ def score(documents: DataFrame, net: Network, threshold: float = THRESHOLD) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = docs.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -218,7 +218,7 @@ def keep_good(documents: DataFrame, net: Network, threshold: float = THRESHOLD)
             good = np.array([held.value.score(t) >= threshold for t in batch.column("text").to_pylist()], bool)
             yield batch.filter(pa.array(good))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def held_out_accuracy(labelled: list[tuple[int, float, int]]) -> float:

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize
-from quillgraph.llm.near_copies import near_copies
+from quillgraph.llm.common import materialize, tidy
+from quillgraph.llm.near_copies import BROADCAST_ROWS, near_copies
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.skew import join_frequent
 
@@ -69,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp long) of each row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 def _variants(fp: F.Column) -> F.Column:
@@ -171,7 +171,7 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few bytes of fingerprints become 33 times as many: they are spread before
     variants = prints.repartition(n, "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    found = materialize(variants.repartition("key").sortWithinPartitions("key").mapInArrow(_searched(bucket_limit), "key long, src long, dst long"))
+    found = materialize(variants.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_searched(bucket_limit)), "key long, src long, dst long"))
     usual, hot = found.where("key is null").select("src", "dst"), found.where("key is not null").select("key", F.col("src").alias("fp"))
     return usual if hot.isEmpty() else usual.unionByName(_hot_links(hot))
 
@@ -203,12 +203,23 @@ def near_duplicates(documents: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> D
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` with one document of each group of near copies: the smallest doc_id, and of its repeated rows one.
+    """The rows of ``documents`` with one document of each group of near copies: the smallest doc_id, and of its rows of one text one (different texts under a doc_id stay together).
 
     Groups are those of five-word shingles at a Jaccard similarity of 0.8 (``near_copies``): fingerprints of such texts
     differ by more bits than deletion variants reach. Rows without a doc_id can't stand for a group and are kept as they are.
     """
-    group = near_copies(documents.where("doc_id is not null"))
-    kept = group.where("doc_id = component_id").select(F.col("doc_id").alias("__qg_kept")).distinct()
-    one = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__qg_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(documents.where("doc_id is null"))
+    own = documents.where("doc_id is not null")
+    ids = materialize(near_copies(own).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n")))
+    out = _without(own, ids.where("not kept"), "left_anti")
+    repeated = ids.where("kept and n > 1")
+    if not repeated.isEmpty():
+        out = _without(out, repeated, "left_anti").unionByName(_without(out, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(documents.where("doc_id is null"))
+
+
+def _without(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``documents`` semi- or anti-joined with ``ids``; documents stay where they are beside few ids."""
+    listed = ids.select(F.col("doc_id").alias("__qg_id"))
+    if listed.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    return documents.join(listed, F.col("doc_id") == F.col("__qg_id"), how)

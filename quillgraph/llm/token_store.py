@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, shared_path
+from quillgraph.llm.common import materialize, shared_path, tidy
 from quillgraph.llm.storage import NewFile, open_file
 
 MAGIC = b"QGTOKEN2"
@@ -45,9 +45,9 @@ GAMMA = 2.0
 #: Bytes of the source (its files) that one shard should hold.
 SHARD_BYTES = 16_000_000
 #: Words whose ids a worker remembers, eight ids each on the average at most.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Bytes of texts that are encoded together.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: White space, and what some libraries take for it.
 BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
@@ -332,7 +332,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("of").asc_nulls_first(), F.col("row")]
     ranged = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    written = materialize(ranged.mapInArrow(write, "shard long, file string, n_docs long, n_ids long"))
+    written = materialize(ranged.mapInArrow(tidy(write), "shard long, file string, n_docs long, n_ids long"))
     # a row for each shard: their number is the input's size over SHARD_BYTES
     rows, start, manifest = sorted(tuple(r) for r in written.collect()), 0, []
     for shard, file, n_docs, n_ids in rows:
@@ -371,7 +371,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
 
     n = max(1, manifest.count())
     one_each = manifest.repartition(n)
-    return one_each.mapInArrow(back, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_each.mapInArrow(tidy(back), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(folder: str, manifest: DataFrame, keys: list[int | None]) -> dict[int | None, list[np.ndarray]]:

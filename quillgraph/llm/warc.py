@@ -35,7 +35,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, shared_path
+from quillgraph.llm.common import materialize, shared_path, tidy
 from quillgraph.llm.storage import NewFile, open_file, place
 
 REVISIT_BYTES = 1000
@@ -175,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, fetched: str | N
         if out is not None:
             out.close()
 
-    runs = captures(pages, fetched).sortWithinPartitions("url_key", "ts", F.col("page_id").asc_nulls_first()).mapInArrow(write, INDEX)
+    runs = captures(pages, fetched).sortWithinPartitions("url_key", "ts", F.col("page_id").asc_nulls_first()).mapInArrow(tidy(write), INDEX)
     runs.write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/runs")
     return folder, [[f] for f in _files(f"{folder}/runs")]
 
@@ -291,7 +291,7 @@ def _fold(spark: SparkSession, folder: str, runs: list[list[str]], cuts: list[tu
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{out}/{name}"])], ["part", "file"])
 
         # a name for each range of a group; only reported files are read
-        made = sorted(tuple(r) for r in materialize(_tasks(spark, rows).mapInArrow(merge, "part int, file string")).collect())
+        made = sorted(tuple(r) for r in materialize(_tasks(spark, rows).mapInArrow(tidy(merge), "part int, file string")).collect())
         merged: list[list[str]] = [[] for _ in groups]
         for part, file in made:
             merged[part // ranges].append(file)
@@ -333,7 +333,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[i
 
 def merged_index(tasks: DataFrame) -> DataFrame:
     """The globally ordered index."""
-    return tasks.mapInArrow(lambda batches: (_index_batch(rows) for _, stretch in _stretches(batches, 10_000) for rows in stretch), INDEX)
+    return tasks.mapInArrow(tidy(lambda batches: (_index_batch(rows) for _, stretch in _stretches(batches, 10_000) for rows in stretch)), INDEX)
 
 
 def read_back(folder: str, tasks: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def read_back(folder: str, tasks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out[i : i + 2000], schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url_key", pa.string()), ("capture_ts", pa.string())])
-    return tasks.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_ts string")
+    return tasks.mapInArrow(tidy(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, capture_ts string")
 
 
 def archive(pages: DataFrame, fetched: str | None = None) -> DataFrame:
