@@ -133,7 +133,7 @@ def document_conflicts(relations: DataFrame, mentions: DataFrame, documents: Dat
     lost = ids.where("not resolved").where(~F.col("relation").isin(*MEMBERSHIP)).join(dead, "case_id", "left_anti")
     require_empty(lost, "a relation names an unknown case")
     role = F.coalesce(*(F.when(F.col("relation") == r, name) for r, name in ROLE_OF_RELATION.items()))
-    human = ids.where("resolved").join(groups, "case_id").select("document_id", "conflict_id", role.alias("role"), F.lit("conflict_unit_63_sol").alias("source"), F.col("seq").cast("string").alias("at"))
+    human = ids.where("resolved").join(groups, "case_id").select("document_id", "conflict_id", role.alias("role"), F.lit("reviewed_relations").alias("source"), F.col("seq").cast("string").alias("at"))
     corrected = units.select("document_id", F.col("focal_name").alias("corrected"))
     named = mentions.join(documents.select("document_id", "focal_name"), "document_id").join(corrected, "document_id", "left").withColumn("focal", F.coalesce("corrected", "focal_name"))
     named = named.join(relations.select("document_id").distinct(), "document_id", "left_anti").join(projects.select("project_id", "case_id"), "project_id").join(groups, "case_id")

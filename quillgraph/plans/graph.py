@@ -196,7 +196,7 @@ def conflict_cases(spark, d):
 
 
 @query(RELATIONS_SQL + """, p(name, rank) as (values ('focal', 5), ('co_focal', 4), ('contextual_mention', 3), ('panoramic_mention', 2), ('mentioned_unreviewed', 1)),
-human as (select document_id, 'c' || n_regionkey as conflict_id, case relation when 'focal' then 5 when 'mismo_conflicto' then 4 when 'contextual' then 3 when 'conflictos_distintos' then 2 end as rank, 'conflict_unit_63_sol' as source from now join nation on n_nationkey = case_id where relation <> 'mismo_proyecto'),
+human as (select document_id, 'c' || n_regionkey as conflict_id, case relation when 'focal' then 5 when 'mismo_conflicto' then 4 when 'contextual' then 3 when 'conflictos_distintos' then 2 end as rank, 'reviewed_relations' as source from now join nation on n_nationkey = case_id where relation <> 'mismo_proyecto'),
 m as (select o_custkey as document_id, 'p' || o_orderkey % 25 as raw_name, o_orderkey % 25 as project_id from orders where o_custkey not in (select document_id from rel)),
 mech as (select m.document_id, 'c' || n_regionkey as conflict_id, case when raw_name = case when m.document_id % 4 = 0 then '' when m.document_id % 4 = 1 then 'p' || (c_nationkey + 1) % 25 else 'p' || c_nationkey end then 5 else 1 end as rank, 'trivial_from_project_mention' as source
   from m join customer on c_custkey = m.document_id join nation on n_nationkey = m.project_id)
