@@ -200,10 +200,10 @@ def resumed_plan(spark, d):
     return resume.resume_plan(plan, log, "q", marker="purchase")
 
 
-@query("select user_id as stage, arg_max(event_type, ts) as state, max(ts) as at from events group by 1")
+@query("select user_id as stage, arg_max(event_type, ts) as state, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as at from events group by 1")
 def stage_states(spark, d):
     log = t(spark, d, "events").select(F.col("user_id").alias("stage"), F.col("event_type").alias("state"), F.col("ts").alias("at"))
-    return resume.run_states(log)
+    return resume.run_states(log).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("select event_type, min(event_id) as event_id, arg_min(user_id, event_id) as user_id from events group by 1")
@@ -219,7 +219,7 @@ def sampled_case_rows(spark, d):
 
 
 @query("""select 'areas' as part, count(*)::bigint as n, sum(length('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}'))::bigint as chars from region
-union all select 'nations', count(*), sum(length('{"n_name":"' || n_name || '"}')) from nation""")
+union all select 'nations', count(*), sum(length('{"n_name":"' || n_name || '"}'))::bigint from nation""")
 def dataset_rows(spark, d):
     rows = present.dataset({"areas": t(spark, d, "region"), "nations": t(spark, d, "nation").select("n_name")})
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("row")).alias("chars"))
