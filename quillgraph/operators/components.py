@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quillgraph.operators.skew import join_frequent
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Edges that a partition holds at least between rounds (16 bytes each).
+EDGES = 200_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         total, rest = _state(current)
         if not rest:
             break
-        current = materialize(_small_star(_large_star(current, total)))
+        # rounds never add edges: a small graph is held in few files, however many partitions its shuffles have
+        current = materialize(_small_star(_large_star(current, total)).coalesce(max(1, total // EDGES)))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
