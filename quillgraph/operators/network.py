@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import norm_plain, stable_id, strip
 from quillgraph.operators.components import connected_components, materialize
+from quillgraph.operators.skew import BROADCAST_ROWS
 
 # Fixed values.
 ACTOR_SOURCES = ("enrichment_actor", "enrichment_institution", "actor_second_pass_v2")
@@ -104,16 +108,40 @@ def resolve_actors(rows: DataFrame, aliases: DataFrame, actor: str = "actor", ca
     return out.withColumn("node", F.coalesce("entity_id", own)).withColumn("label", F.coalesce("label", F.col(actor))).drop("_k")
 
 
-#: Members of a place that pair up in one task.
+#: Members of a place that pair up in one task, where the places of pairs are asked for or few pairs meet.
 BLOCK = 512
+#: Actors in a block of the grid in which shared places are counted, about; four bytes for each pair of two blocks are held by a task.
+GRID = 4096
+#: Pairs that a task handles at once.
+SLAB = 1 << 20
 
 
 def projection(rows: DataFrame, actor: str, place: str, documents: bool = False) -> DataFrame:
     """(a, b, weight[, places]), a < b: places (documents or cases) that two actors share.
 
-    The result has every pair of a place by definition. A place's members are dealt to blocks of about BLOCK by hash, and pairs of blocks
-    meet by equality, so that a place with very many members is not one task's work; pairs are counted before they are shuffled.
+    The result has every pair of a place by definition. Pairs are counted where two blocks of actors meet (``_grid``), so that members of places
+    are shuffled and not pairs. Their places, or few pairs, are met by equality and shuffled.
     """
+    if documents or not (grid := _grid(rows, actor, place)):
+        return _met(rows, actor, place, documents)
+    kind = rows.schema[actor].dataType.simpleString()
+    found = grid.mapInArrow(_counted(1, False), f"a {kind}, b {kind}, weight long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
+
+
+def linked(rows: DataFrame, actor: str, place: str, least: int) -> DataFrame:
+    """(a, b, links): edges with the components of the pairs that share ``least`` places or more; the sum of ``links`` is how many such pairs there are.
+
+    Of two blocks of actors that meet no more than a star of each component is given, however many pairs are linked.
+    """
+    if not (grid := _grid(rows, actor, place)):
+        return _met(rows, actor, place).where(F.col("weight") >= least).select("a", "b", F.lit(1).cast("long").alias("links"))
+    kind = rows.schema[actor].dataType.simpleString()
+    return grid.mapInArrow(_counted(least, True), f"a {kind}, b {kind}, links long")
+
+
+def _met(rows: DataFrame, actor: str, place: str, documents: bool = False) -> DataFrame:
+    """``projection`` by pairs that are shuffled: a place's members are dealt to blocks of about BLOCK by hash, and pairs of blocks meet by equality."""
     r = rows.select(F.col(actor).alias("_a"), F.col(place).alias("_p")).where("_a is not null and _p is not null").distinct()
     sizes = r.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
     dealt = r.join(sizes, "_p").withColumn("_i", F.pmod(F.xxhash64("_a"), F.col("_k")).cast("int"))
@@ -126,6 +154,117 @@ def projection(rows: DataFrame, actor: str, place: str, documents: bool = False)
     return met.groupBy("a", "b").agg(*about)
 
 
+def _grid(rows: DataFrame, actor: str, place: str) -> DataFrame | None:
+    """(i, j, side, names, x, y) sorted by (i, j, side) within partitions that hold whole (i, j): blocks i <= j of actors.
+
+    Side 0 has the names of block i, side 1 those of block j; side 2 tells for each place which of them are there, as numbers of names.
+    None if so few pairs meet in places that these rows would be more.
+    """
+    r = rows.select(F.col(actor).alias("_a"), F.col(place).alias("_p")).where("_a is not null and _p is not null")
+    ids = r.select("_a").distinct()
+    n, spark = ids.count(), rows.sparkSession
+    k = max(-(-n // GRID), math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    c = F.col("_c").cast("double")
+    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).agg(F.sum(c), F.sum(c * (c - 1) / 2)).first()
+    if (sizes[1] or 0) <= (sizes[0] or 0) + n * k:
+        return None
+    blocks = ids.groupBy(F.pmod(F.xxhash64("_a"), F.lit(k)).cast("int").alias("_i")).agg(F.array_sort(F.collect_list("_a")).alias("names"))
+    numbered = blocks.select("_i", F.posexplode("names").alias("_o", "_a")).withColumn("_o", F.col("_o").cast("short"))
+    cells = r.join(F.broadcast(numbered) if n <= BROADCAST_ROWS else numbered, "_a").groupBy("_p", "_i").agg(F.sort_array(F.collect_set("_o")).alias("who"))
+    places = cells.groupBy("_p").agg(F.collect_list(F.struct("_i", "who")).alias("cells"))
+    low = places.select("cells", F.explode("cells").alias("x"))
+    pairs = low.select("x", F.explode(F.filter("cells", lambda y: (y["_i"] > F.col("x._i")) | ((y["_i"] == F.col("x._i")) & (F.size("x.who") > 1)))).alias("y"))
+    there = pairs.select(F.col("x._i").alias("i"), F.col("y._i").alias("j"), F.lit(2).alias("side"), F.lit(None).cast(blocks.schema["names"].dataType).alias("names"), F.col("x.who").alias("x"), F.col("y.who").alias("y"))
+    none = F.lit(None).cast("array<short>")
+    other = blocks.select("_i", "names", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
+    named = other.select(F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.when(F.col("_i") <= F.col("_j"), 0).otherwise(1).alias("side"), "names", none.alias("x"), none.alias("y"))
+    parts = min(k * (k + 1) // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return named.unionByName(there).repartition(parts, "i", "j").sortWithinPartitions("i", "j", "side")
+
+
+def _counted(least: int, stars: bool) -> Callable:
+    """From the rows of a ``_grid``: the pairs that share ``least`` places or more and how many, or as ``stars`` edges with their components, the first with the number of pairs."""
+
+    def rows_of(names: list[pa.Array], src: np.ndarray, dst: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names[0].take(pa.array(src)), names[1].take(pa.array(dst)), pa.array(n.astype(np.int64))], ["a", "b", "links" if stars else "weight"])
+
+    def counts(held: list[np.ndarray], table: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if table is None:
+            code, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+            yield code[n >= least], n[n >= least]
+            return
+        for at in range(0, len(table), SLAB):
+            code = np.flatnonzero(table[at : at + SLAB] >= least)
+            yield code + at, table[at : at + SLAB][code]
+
+    def of_blocks(names: list[pa.Array], same: bool, held: list[np.ndarray], table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        width, total = len(names[1]), 0
+        root = np.arange(len(names[0]) + (0 if same else width))
+        for code, n in counts(held, table):
+            src, dst = np.divmod(code, width)
+            if same:  # each pair is there twice
+                n, src, dst = n[src < dst], src[src < dst], dst[src < dst]
+            total += len(src)
+            if stars:
+                root = joined(root, src, dst if same else dst + len(names[0]))
+                continue
+            for at in range(0, len(src), 1 << 16):
+                of = slice(at, at + (1 << 16))
+                yield rows_of(names, src[of], dst[of], n[of])
+        if total and stars:
+            own = np.flatnonzero(root != np.arange(len(root)))
+            every = [names[0] if same else pa.concat_arrays(names)] * 2
+            yield rows_of(every, own, root[own], np.where(np.arange(len(own)) == 0, total, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, held, n, table = None, [], [], 0, None
+        for batch in batches:
+            i, j, side = (batch.column(c).to_numpy() for c in ("i", "j", "side"))
+            (x, xs), (y, ys) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y")))
+            for k in range(batch.num_rows):
+                if (i[k], j[k]) != at:
+                    if names:
+                        yield from of_blocks(names, at[0] == at[1], held, table)
+                    at, names, held, n, table = (i[k], j[k]), [], [], 0, None
+                if side[k] < 2:
+                    own = batch.column("names")[k].values
+                    names += [own, own] if i[k] == j[k] else [own]
+                    continue
+                a, b = x[xs[k] : xs[k + 1]].astype(np.int64) * len(names[1]), y[ys[k] : ys[k + 1]].astype(np.int64)
+                step = max(1, SLAB // len(b))
+                for s in range(0, len(a), step):
+                    code = (a[s : s + step, None] + b).ravel()
+                    if table is not None:
+                        table[code] += 1
+                        continue
+                    held.append(code)
+                    n += len(code)
+                    if n > len(names[0]) * len(names[1]) // 8:
+                        table = np.zeros(len(names[0]) * len(names[1]), np.int32)
+                        for c in held:
+                            table[c] += 1  # a place has each pair once
+                        held = []
+        if names:
+            yield from of_blocks(names, at[0] == at[1], held, table)
+
+    return run
+
+
+def joined(root: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The roots of components (each node's smallest) after the links from src to dst."""
+    while len(src):
+        a, b = root[src], root[dst]
+        apart = a != b
+        if not apart.any():
+            break
+        src, dst, a, b = src[apart], dst[apart], a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
 def bipartite(rows: DataFrame, actor: str, case: str, document: str) -> DataFrame:
     return rows.groupBy(actor, case).agg(F.countDistinct(document).alias("weight"))
 
@@ -140,10 +279,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def projection_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(n, m, density, components, largest, share): isolated nodes are components of their own; share is the largest one's, in per cent."""
+    """(n, m, density, components, largest, share): isolated nodes are components of their own; share is the largest one's, in per cent.
+
+    ``edges`` (a, b) are the links, or those of ``linked`` (a, b, links), which tells their number and is read twice.
+    """
     sizes = component_sizes(edges, nodes)
     about = sizes.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
-    m = edges.agg(F.count(F.lit(1)).alias("m"))
+    m = edges.agg((F.coalesce(F.sum("links"), F.lit(0)) if "links" in edges.columns else F.count(F.lit(1))).alias("m"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     share = F.bround(F.col("largest") * 100.0 / F.nullif(F.col("n"), F.lit(0)), 1)
     return about.crossJoin(m).select("n", "m", F.coalesce(F.bround(F.col("m") / F.nullif(pairs, F.lit(0.0)), 5), F.lit(0.0)).alias("density"), "components", "largest", F.coalesce(share, F.lit(0.0)).alias("share"))
@@ -342,6 +484,12 @@ def compare_reports(a: dict[str, DataFrame], b: dict[str, DataFrame], degrees_a:
     return {"documents_top": overlap(a["documents_top"], b["documents_top"], "label"), "places_top": overlap(a["places_top"], b["places_top"], "label"), "ranks": spearman_test(both, "x", "y")}
 
 
+def projection_without_institutions(rows: DataFrame, nodes: DataFrame, actor: str, place: str) -> DataFrame:
+    """``exclude_institutions`` of a projection: the rows of confirmed institutions are left out before pairs are made, not the pairs after."""
+    kept = nodes.where(~F.coalesce("es_institucional", F.lit(False))).select(F.col("node").alias(actor))
+    return projection(rows.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, actor, "left_semi"), actor, place)
+
+
 def exclude_institutions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The subgraph without confirmed institutions; null and false flags stay."""
     kept = nodes.where(~F.coalesce("es_institucional", F.lit(False))).select("node")

@@ -124,6 +124,46 @@ def test_projection_equals_brute_force(spark, monkeypatch, block):
     assert got == {k: (len(v), v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("grid", [4096, 5])
+def test_pairs_are_counted_before_they_are_shuffled(spark, monkeypatch, grid):
+    """Dense places by the grid, of long and string actors: brute force's pairs and components, and no exchange by pair."""
+    import random
+
+    monkeypatch.setattr(network, "GRID", grid)
+    rng = random.Random(3)
+    seen = [(rng.randrange(60) // (1 + p % 3), p) for p in range(30) for _ in range(90)]
+    rows = seen + [(None, 1), (3, None), (900, 77), (901, 78), (901, 78)]
+    by = {p: sorted({a for a, q in seen if q == p}) for p in range(30)}
+    want = {}
+    for own in by.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    table = frame(spark, rows, "who long, place int")
+    for shown in (F.col("who"), F.format_string("n%03d", "who")):
+        edges = network.projection(table.withColumn("who", F.when(F.col("who").isNotNull(), shown)), "who", "place")
+        assert "hashpartitioning(a#" not in edges._jdf.queryExecution().executedPlan().toString()
+        key = (lambda a: a) if edges.schema["a"].dataType.simpleString() == "bigint" else (lambda a: f"n{a:03d}")
+        assert {(r.a, r.b): r.weight for r in edges.collect()} == {(key(a), key(b)): n for (a, b), n in want.items()} and edges.count() == len(want)
+    nodes = table.where("who is not null").select(F.col("who").alias("node")).distinct()
+    kinds = nodes.withColumn("es_institucional", F.when(F.col("node") % 3 == 0, True).when(F.col("node") % 3 == 1, False))
+    kept = network.projection_without_institutions(table, kinds, "who", "place").collect()
+    assert {(r.a, r.b): r.weight for r in kept} == {p: n for p, n in want.items() if p[0] % 3 and p[1] % 3}
+    for least in (1, 12) if grid == 5 else (24,):
+        far = [p for p, n in want.items() if n >= least]
+        parent = {r.node: r.node for r in nodes.collect()}
+        for a, b in far:
+            x, y = parent[a], parent[b]
+            parent = {k: min(x, y) if v in (x, y) else v for k, v in parent.items()}
+        links = network.linked(table, "who", "place", least)
+        sizes = {r.component: r["size"] for r in network.component_sizes(links, nodes).collect()}
+        assert sizes == {c: list(parent.values()).count(c) for c in set(parent.values())}
+        summary = network.projection_summary(links, nodes).first()
+        assert (summary.m, summary.n, summary.components) == (len(far), len(parent), len(sizes))
+    assert network.projection(frame(spark, [(1, 1), (2, 1), (5, 2)], "who int, place int"), "who", "place").collect() == [(1, 2, 1)], "few pairs"
+    assert network.linked(frame(spark, [], "who int, place int"), "who", "place", 1).count() == 0
+
+
 def test_ranks_and_waves_are_spread(spark):
     import random
 
