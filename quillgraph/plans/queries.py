@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as X
 from quillgraph.functions.fragment import fragment
 from quillgraph.operators import audit, conflict, evidence, geo, layers, nested, network, present, resolve
-from quillgraph.operators.components import connected_components
+from quillgraph.operators.components import connected_components, materialize
 from quillgraph.sources import ingest
 from quillgraph.streaming import resume
 
@@ -376,7 +376,7 @@ select sum(size)::bigint as n, (select count(*) from f)::bigint as m, coalesce(r
   round_even(max(size) * 100.0 / sum(size), 1)::double as share from c""")
 def projection_summary(spark, d):
     nodes = _appearances(spark, d).select(F.col("actor").alias("node")).distinct()
-    return network.projection_summary(_cooccurrence(spark, d).where("weight >= 12"), nodes)
+    return network.projection_summary(materialize(network.linked(_appearances(spark, d), "actor", "place", 12)), nodes)
 
 
 @query("""
