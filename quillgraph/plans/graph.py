@@ -148,7 +148,7 @@ walk(node, reach) as (select node, node from nodes union select walk.node, s.b f
 select component, count(*)::bigint as size from (select node, min(reach) as component from walk group by node) group by 1 order by size desc, component limit 10""")
 def top_components(spark, d):
     nodes = _appearances(spark, d).select(F.col("actor").alias("node")).distinct()
-    return network.top_components(network.component_sizes(_cooccurrence(spark, d).where("weight >= 14"), nodes))
+    return network.top_components(network.component_sizes(network.linked(_appearances(spark, d), "actor", "place", 14), nodes))
 
 
 @query("""with r as (select distinct user_id as actor, strftime(ts, '%Y-%m-%d %H') as place from events)
