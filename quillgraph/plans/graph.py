@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.operators import audit, conflict, geo, network, present, resolve
-from quillgraph.plans.queries import LINKS_SQL, _appearances, _cooccurrence, _links, query, t
+from quillgraph.plans.queries import LINKS_SQL, _appearances, _links, query, t
 
 K = "cast(json_extract_string(props, '$.k') as int)"
 SOURCES = ("enrichment_actor", "enrichment_institution", "enrichment_event", "actor_second_pass_v2")
@@ -157,7 +157,7 @@ def confirmed_subgraph(spark, d):
     """A third of the actors is confirmed as institutional, a third confirmed as not, and a third unknown."""
     k = F.col("node") % 3
     nodes = _appearances(spark, d).select(F.col("actor").alias("node")).distinct().withColumn("es_institucional", F.when(k == 0, True).when(k == 1, False))
-    return network.exclude_institutions(_cooccurrence(spark, d), nodes)
+    return network.projection_without_institutions(_appearances(spark, d), nodes, "actor", "place")
 
 
 @query(ACTORS_SQL + "select count_if(f)::bigint as n_institutional, count_if(not f)::bigint as n_not_institutional, count_if(f is null)::bigint as n_unclassified from (select actor, case when count(es_institucional) = 0 then null else 2 * sum(es_institucional) >= count(es_institucional) end as f from x group by 1)")
