@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline's near-dedup stage.
+"""Near copies by exact Jaccard similarity of word shingles: what the pipeline's near-dedup stage, on SimHash (``simhash.keep_one``), verifies by and completes.
 
 Texts link when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come
 from prefixes: with all shingles in one order, of two linked sets of n and m some shared one stands at places
@@ -11,7 +11,7 @@ prefix shingle are a pair. In a larger group each text is first paired with the
 mostly share; groups of shingles that a hundredth of the sample has are not gathered for that. Each text is verified
 against one candidate, the smallest; the other pairs of two follow. Then groups that are still of several components are looked
 at again, dealt in blocks: first for pairs that would join all their components (``FOREST`` times, as not all of those hold), at last
-for all pairs of different components. A pair is verified, once, only if the counts of its sets by hash bucket (``signature``, a byte for four
+for all pairs of different components, each given only where its texts' shared groups begin or go apart. A pair is verified, once, only if the counts of its sets by hash bucket (``signature``, a byte for four
 shingles) allow enough common ones. Verification brings a text to its candidate's, which is held once for all texts
 that are compared with it; a candidate of many texts is held by several tasks.
 
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize, tidy
@@ -77,6 +77,13 @@ def shingles(own: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(first, ends[SHINGLE - 1 :].tolist(), strict=False)]), np.uint64))
 
 
+def majority(digests: bytes) -> int:
+    """The unsigned 64-bit fingerprint of big-endian hashes: a bit is 1 if set in over half of them."""
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduce(bits, axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big")
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first shingles of a set by hash, frequent ones (sorted) last: as many as can't all be missed."""
     if len(frequent):
@@ -130,7 +137,7 @@ def _index(frequent: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, firsts, marks = [], [], [], []
+            nodes, sizes, firsts, marks, prints = [], [], [], [], []
             for text in batch.column("text"):
                 own = words(text.as_py())
                 nodes.append(node(own))
@@ -138,6 +145,7 @@ def _index(frequent: np.ndarray) -> Callable:
                     sizes.append(0)
                     firsts.append(np.zeros(0, np.int64))
                     marks.append(None)
+                    prints.append(None)
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -146,8 +154,9 @@ def _index(frequent: np.ndarray) -> Callable:
                 sizes.append(len(whole))
                 firsts.append(prefix(whole, frequent).view(np.int64))
                 marks.append(signature(whole))
-            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "first", "mark"])
+                prints.append(majority(whole.astype("<u8").tobytes()) - (1 << 63))
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "first", "mark", "fp"])
 
     return run
 
@@ -253,9 +262,9 @@ def _folded(mark: bytes, buckets: int) -> np.ndarray:
 
 
 def _other_pairs(forest: bool) -> Callable:
-    """From rows (token, block, side, node, place, component, mark) sorted by block: the pairs of side 0 and side 1 whose components differ and whose signatures allow it.
+    """From rows (token, block, side, node, place, component, mark, before) sorted by block: the pairs of side 0 and side 1 whose components differ and whose signatures allow it.
 
-    As a ``forest`` only those that join components which the block's earlier pairs, if they hold, have not joined.
+    Texts whose last shared group before this one is the same (``before``, its token) meet there too, no later in their orders, and are left to it. As a ``forest`` only those that join components which the block's earlier pairs, if they hold, have not joined.
     """
 
     def pairs_of(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +272,7 @@ def _other_pairs(forest: bool) -> Callable:
         if not asking or not other:
             return
         who, place, part = (np.array([r[c] for r in other], np.int64) for c in ("node", "place", "component"))
-        size = place >> 32
+        size, before, first = place >> 32, np.array([r["before"] or 0 for r in other], np.int64), np.array([r["before"] is None for r in other], bool)
         # buckets of equal number are comparable where both signatures have FOLD of them; shorter ones are left to the exact look
         fold, full = np.stack([_folded(r["mark"], FOLD) for r in other]), np.array([len(r["mark"]) >= FOLD for r in other], bool)
         parent: dict[int, int] = {}
@@ -276,7 +285,8 @@ def _other_pairs(forest: bool) -> Callable:
 
         src, dst = [], []
         for r in asking:
-            at = np.flatnonzero((part != r["component"]) & _near_places(place, np.full(len(place), r["place"])))
+            new = first | (before != r["before"]) if r["before"] is not None else True
+            at = np.flatnonzero((part != r["component"]) & new & _near_places(place, np.full(len(place), r["place"])))
             if len(at) and len(r["mark"]) >= FOLD:
                 most = np.minimum(fold[at], _folded(r["mark"], FOLD)).sum(1)
                 at = at[~full[at] | (9 * most >= 4 * (size[at] + (r["place"] >> 32)))]
@@ -319,7 +329,8 @@ def _other(large: DataFrame, groups: DataFrame, first: DataFrame, turn: int | No
         rows = materialize(rows)
         rows = rows.join(rows.groupBy("node").agg(pick("token").alias("token")), ["node", "token"])
     rows = rows.join(first.select("node", "mark"), "node").withColumn("k", F.ceil(F.col("total") / BLOCK).cast("int"))
-    columns = ["node", "place", "component", "mark"]
+    rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("node").orderBy("place")) if turn is None else F.lit(None).cast("long"))
+    columns = ["node", "place", "component", "mark", "before"]
     dealt = rows.select("token", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("block"), F.lit(1).alias("side"), *columns)
     asking = rows.where("component <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.lit(0).alias("side"), *columns)
     met = dealt.unionByName(asking).repartition("token", "block").sortWithinPartitions("token", "block", "side", "node")
@@ -387,16 +398,20 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("_src", "src") != F.coalesce("_dst", "dst")).select("src", "dst")
 
 
-def near_copies(documents: DataFrame, sweep: int = SWEEP) -> DataFrame:
-    """(doc_id, component_id) per row of ``documents``: the smallest doc_id of the texts connected by links."""
+def near_copies(documents: DataFrame, sweep: int = SWEEP, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, component_id) per row of ``documents``: the smallest doc_id of the texts connected by links.
+
+    ``near`` gives pairs (src, dst) of distinct texts (node, fp) to be verified first, from their fingerprints (``majority`` of the shingles, less 2 ** 63).
+    """
     frequent, hot = frequent_shingles(documents)
-    index = materialize(_texts(documents).mapInArrow(tidy(_index(frequent)), "doc_id long, node long, n int, first array<long>, mark binary"))
-    first = materialize(index.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("mark").alias("mark")))
+    index = materialize(_texts(documents).mapInArrow(tidy(_index(frequent)), "doc_id long, node long, n int, first array<long>, mark binary, fp long"))
+    first = materialize(index.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("mark").alias("mark"), F.max("fp").alias("fp")))
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place")
     postings = index.select(F.posexplode("first").alias("i", "token"), "node", "n").select("token", "node", place)
     met = materialize(_first_met(postings, hot, sweep))
     pairs = met.where("token is null")
-    tried = _candidates(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), first)
+    least = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    tried = _candidates(near(first.select("node", "fp")).unionByName(least) if near else least, first)
     links = _verified(tried, documents, first)
     groups = materialize(connected_components(links))
     small = pairs.where("place is null").select("src", "dst").distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize, tidy
-from quillgraph.llm.near_copies import BROADCAST_ROWS, near_copies
+from quillgraph.llm.near_copies import BROADCAST_ROWS, majority, near_copies
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.skew import join_frequent
 
@@ -55,9 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         first = [0, *(ends[:-1] + 1).tolist()]
         digest = xxhash.xxh64_digest
         digests = b"".join([digest(joined[a:b], SEED) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=False)])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big")
+    return majority(digests)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +200,24 @@ def near_duplicates(documents: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> D
     return join_frequent(prints, of, "fp", "copies", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_texts(texts: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(src, dst), src < dst: pairs of texts (node, fp) that connect those whose fingerprints are equal or linked."""
+    lead = materialize(texts.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")))
+    equal = join_frequent(texts, lead, "fp", "n", texts.count()).where("node <> lead").select(F.col("lead").alias("src"), F.col("node").alias("dst"))
+    of = lambda end: lead.select(F.col("fp").alias(end), F.col("lead").alias(f"_{end}"))
+    linked = links(lead.select("fp"), bucket_limit).distinct().join(of("src"), "src").join(of("dst"), "dst")
+    return equal.unionByName(linked.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` with one document of each group of near copies: the smallest doc_id, and of its rows of one text one (different texts under a doc_id stay together).
 
-    Groups are those of five-word shingles at a Jaccard similarity of 0.8 (``near_copies``): fingerprints of such texts
-    differ by more bits than deletion variants reach. Rows without a doc_id can't stand for a group and are kept as they are.
+    By SimHash of five-word shingles: what the deletion variants of its fingerprints link is verified by Jaccard similarity, 0.8 or more, on
+    the whole sets. Fingerprints of such texts may differ by more bits than the variants reach, so ``near_copies`` completes the groups by an
+    exact way. Rows without a doc_id can't stand for a group and are kept as they are.
     """
     own = documents.where("doc_id is not null")
-    ids = materialize(near_copies(own).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n")))
+    ids = materialize(near_copies(own, near=near_texts).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n")))
     out = _without(own, ids.where("not kept"), "left_anti")
     repeated = ids.where("kept and n > 1")
     if not repeated.isEmpty():

@@ -135,6 +135,32 @@ def test_near_copies_with_hot_shingles(spark, monkeypatch):
         assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_keep_one_goes_by_fingerprints(spark, monkeypatch):
+    """The stage's pairs come from deletion variants, at five words; and a pair of texts is given by few of the groups that it shares."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    base = words(rng, 300).split()
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join([*base[:-1], "stop"]), words(rng, 300)]
+    asked, own = [], simhash.near_texts
+    monkeypatch.setattr(simhash, "near_texts", lambda found: asked.append(found.collect()) or own(found))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == [0, 3]
+    prints = {r.node: r.fp for r in asked[0]}
+    nodes = [near_copies.node(near_copies.words(t)) for t in texts]
+    assert prints == {n: simhash.fingerprint(t, 5) - (1 << 63) for n, t in zip(nodes, texts, strict=True)}
+    signed = {n: near_copies.node([str(n).encode()]) for n in range(4)}
+    table = spark.createDataFrame([(n, f) for n, f in enumerate([7, 7, 7 ^ 3, signed[3]])], "node long, fp long")
+    assert {tuple(r) for r in own(table).collect()} == {(0, 1), (0, 2)}
+
+    mark = near_copies.signature(near_copies.shingles(near_copies.words(texts[0])))
+    row = lambda token, side, node, place, before: (token, 0, side, node, (300 << 32) + place, node, mark, before)
+    rows = [r for t in range(5) for r in (row(t, 0, 8, t, t - 1 if t else None), row(t, 1, 9, t, t - 1 if t not in (0, 3) else None))]
+    names = ["token", "block", "side", "node", "place", "component", "mark", "before"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    found = [(r["src"], r["dst"]) for b in near_copies._other_pairs(False)(iter([batch])) for r in b.to_pylist()]
+    assert found == [(8, 9)] * 2, "in the first group, and where one comes from another group"
+
+
 def test_signatures_never_exclude_similar_sets():
     rng = np.random.default_rng(2)
     for n in (1, 3, 20, 300, 5000):
