@@ -45,9 +45,10 @@ GAMMA = 2.0
 #: Bytes of the source (its files) that one shard should hold.
 SHARD_BYTES = 16_000_000
 #: Words whose ids a worker remembers, eight ids each on the average at most.
-CACHE = 400_000
-#: Bytes of texts that are encoded together.
-BATCH = 4 << 20
+CACHE = 200_000
+#: Bytes of texts that are encoded together, and words of them whose ids are put in a row at once.
+BATCH = 2 << 20
+ROW = 1 << 15
 #: White space, and what some libraries take for it.
 BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
@@ -195,6 +196,8 @@ class Encoder:
         # in a byte-level vocabulary each character of a token stands for one byte
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, self.kind), np.zeros(0, np.int64)
+        #: Which of the words a later batch had again.
+        self.again = np.zeros(0, bool)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts in a row, and how many each has."""
@@ -203,17 +206,17 @@ class Encoder:
 
     def encode_words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The same of words with a space before each, which neither begin nor end with white space."""
-        words, size = texts.to_pylist(), pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         every, counts = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
+        for i in range(0, len(texts), 5000):
+            part = texts.slice(i, 5000).to_pylist()
             (own,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
             ids = np.array(own.ids, self.kind)
             done = np.cumsum(self.length[ids])
             ends = np.cumsum(size[i : i + 5000])
             cuts = np.searchsorted(done, ends) + 1
             if not len(ids) or cuts[-1] > len(ids) or not np.array_equal(done[cuts - 1], ends):
-                return self.encode([" " + w for w in words])  # not a byte-level vocabulary
+                return self.encode([" " + w for w in texts.to_pylist()])  # not a byte-level vocabulary
             every.append(ids)
             counts.append(np.diff(cuts, prepend=0))
         return np.concatenate(every), np.concatenate(counts)
@@ -227,11 +230,21 @@ class Encoder:
         place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         place[at.is_null().to_numpy(zero_copy_only=False)] = old + np.arange(len(missing))
         ids, ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, (self.ends[-1] if old else 0) + np.cumsum(counts)])
+        again = np.concatenate([self.again, np.zeros(len(missing), bool)])
+        again[place[place < old]] = True
+        every = pa.concat_arrays([self.words, missing])
         if len(ends) <= CACHE and len(ids) <= 8 * CACHE:
-            self.words, self.ids, self.ends = pa.concat_arrays([self.words, missing]), ids, ends
-        else:  # begin anew with the words at hand
-            own = np.diff(ends, prepend=0)[place]
-            self.words, self.ids, self.ends = words, ids[_spans(ends[place] - own, own)], np.cumsum(own)
+            self.words, self.ids, self.ends, self.again = every, ids, ends, again
+        else:  # begin anew with the words at hand and, if half of the cache holds them, those that came again
+            held = np.zeros(len(ends), bool)
+            held[place] = True
+            size = np.diff(ends, prepend=0)
+            more = held | again
+            if int(more.sum()) <= CACHE // 2 and int(size[more].sum()) <= 4 * CACHE:
+                held = more
+            own = size[held]
+            self.words, self.ids, self.ends = every.filter(pa.array(held)), ids[_spans(ends[held] - own, own)], np.cumsum(own)
+            self.again = np.zeros(len(own), bool)
         return ids, ends, place
 
     def __call__(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,10 +256,11 @@ class Encoder:
         pieces = parts.flatten()
         is_first = np.zeros(len(pieces), bool)
         is_first[starts[:-1] - starts[0]] = True
-        coded = pieces.filter(pa.array(~is_first)).dictionary_encode()
-        ids, ends, place = self.known(coded.dictionary)
         # pieces of other kinds are put behind the words: first words, whole texts, the end id
         first_ids, first_counts = self.encode(pieces.filter(pa.array(is_first)).to_pylist())
+        coded = pieces.filter(pa.array(~is_first)).dictionary_encode()
+        del parts, pieces
+        ids, ends, place = self.known(coded.dictionary)
         whole_ids, whole_counts = self.encode(texts.filter(pa.array(whole)).to_pylist())
         n_words, n_first, n_whole = len(ends), len(first_counts), len(whole_counts)
         ids = np.concatenate([ids, first_ids, whole_ids, np.array([end_id], self.kind)])
@@ -256,15 +270,15 @@ class Encoder:
         size = np.ones(len(texts), np.int64)
         size[~whole] = np.diff(starts)
         last = np.cumsum(size + 1) - 1
-        order = np.empty(int(last[-1]) + 1 if len(last) else 0, np.int64)
+        order = np.empty(int(last[-1]) + 1 if len(last) else 0, np.int32)
         of_word = np.ones(len(order), bool)
         of_word[last] = of_word[last - size] = False
         order[of_word] = place[coded.indices.to_numpy()]
         order[(last - size)[~whole]] = n_words + np.arange(n_first)
         order[(last - size)[whole]] = n_words + n_first + np.arange(n_whole)
         order[last] = n_words + n_first + n_whole
-        n = counts[order]
-        return ids[_spans(begin[order], n)], np.diff(np.cumsum(n)[last], prepend=0)
+        rows = [ids[_spans(begin[o], counts[o])] for o in (order[i : i + ROW] for i in range(0, len(order), ROW))]
+        return np.concatenate([ids[:0], *rows]), np.diff(np.cumsum(counts[order])[last], prepend=0)
 
 
 @cache
@@ -278,11 +292,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[
     for batch in batches:
         rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
         for i in range(0, batch.num_rows, rows):
-            held.append(batch.slice(i, rows))
-            size += held[-1].nbytes
-            if size >= most:
+            part = batch.slice(i, rows)
+            if held and size + part.nbytes > most:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
+            held.append(part)
+            size += part.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

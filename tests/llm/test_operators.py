@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -520,6 +521,46 @@ def test_encoder_forgets_and_learns_anew(monkeypatch):
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_encoder_remembers_words_that_came_again(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE", 60)
+    encode, rng = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(3):
+        encode(pa.array(["a usual word"]), 2)
+        encode(pa.array(["a " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(20))]), 2)
+    assert {"usual", "word"} <= set(encode.words.to_pylist()) and len(encode.words) <= 60
+
+
+def test_gathered_batches_are_within_their_bound():
+    rows = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (400, 700, 300, 900, 2000, 10, 10)]})
+    got = list(token_store._gathered(iter([rows.slice(i, 1) for i in range(rows.num_rows)]), 1200))
+    assert [x for b in got for x in b.column("text").to_pylist()] == rows.column("text").to_pylist()
+    assert all(b.nbytes <= 1200 or b.num_rows == 1 for b in got)
+
+
+MEMORY = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from quillgraph.llm import token_store
+encode, rng = token_store.Encoder(sys.argv[1]), np.random.default_rng(0)
+encode(pa.array(["a b"]), 2)
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+text = lambda: " ".join(f"{x:x}" for x in rng.zipf(1.3, 600) % 10**6)
+docs = [pa.RecordBatch.from_pydict({"text": [text() for _ in range(250)]}) for _ in range(20)]
+before = most()
+for batch in token_store._gathered(iter(docs)):
+    encode(batch.column("text"), 2)
+print(most() - before)
+"""
+
+
+def test_encoder_takes_little_memory():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", MEMORY, public_tokenizers.path("byte_bpe_50k.json")], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 100
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 20_000))
     index = token_store.PerfectHash.build(keys)
