@@ -264,7 +264,7 @@ def _folded(mark: bytes, buckets: int) -> np.ndarray:
 def _other_pairs(forest: bool) -> Callable:
     """From rows (token, block, side, node, place, component, mark, before) sorted by block: the pairs of side 0 and side 1 whose components differ and whose signatures allow it.
 
-    Texts whose last shared group before this one is the same (``before``, its token) meet there too, no later in their orders, and are left to it. As a ``forest`` only those that join components which the block's earlier pairs, if they hold, have not joined.
+    Texts whose last shared group before this one is the same (``before``, its token) meet there too, no later in their orders, and are left to it. As a ``forest`` only those that join components which the block's earlier pairs, if they hold, have not joined, the likeliest first.
     """
 
     def pairs_of(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +283,24 @@ def _other_pairs(forest: bool) -> Callable:
                 x = up
             return x
 
-        src, dst = [], []
-        for r in asking:
+        def fitting(r: dict) -> tuple[np.ndarray, np.ndarray]:
+            """What may be similar to a text, and the share of both sets that can be common (the least that is asked where too few buckets tell it)."""
             new = first | (before != r["before"]) if r["before"] is not None else True
             at = np.flatnonzero((part != r["component"]) & new & _near_places(place, np.full(len(place), r["place"])))
+            share = np.full(len(at), 4 / 9)
             if len(at) and len(r["mark"]) >= FOLD:
-                most = np.minimum(fold[at], _folded(r["mark"], FOLD)).sum(1)
-                at = at[~full[at] | (9 * most >= 4 * (size[at] + (r["place"] >> 32)))]
+                most, both = np.minimum(fold[at], _folded(r["mark"], FOLD)).sum(1), size[at] + (r["place"] >> 32)
+                fits = ~full[at] | (9 * most >= 4 * both)
+                at, share = at[fits], np.where(full[at], most / both, 4 / 9)[fits]
+            return at, share
+
+        if forest:  # the likeliest pairs first, as components are joined by the first ones
+            asking = [r for _, r in sorted(((-float(fitting(r)[1].max(initial=0)), r) for r in asking), key=lambda x: x[0])]
+        src, dst = [], []
+        for r in asking:
+            at, share = fitting(r)
+            if forest:
+                at = at[np.argsort(-share, kind="stable")]
             for x in at.tolist():
                 if forest and root(r["component"]) == root(other[x]["component"]):
                     continue
@@ -318,16 +329,16 @@ def _other(large: DataFrame, groups: DataFrame, first: DataFrame, turn: int | No
 
     Groups that are of one component by now are dropped before anything is gathered. Members of the others are dealt to blocks of
     about ``BLOCK``, each once; those that aren't of a group's largest component, one of which is in every pair, ask in all its
-    blocks. In a ``turn`` of a forest each text takes part in one of its groups, by turns the smallest and the largest.
+    blocks. In a ``turn`` of a forest each text takes part in one of its groups, by turns that of most members and that of fewest.
     """
     placed = materialize(large.join(groups, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component")))
     parts = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = materialize(parts.groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("c", "component")).alias("top")).where("parts > 1").drop("parts"))
     rows = join_frequent(placed, mixed.withColumn("total", F.col("n")), "token", "n", placed.count())
     if turn is not None:
-        pick = F.min if turn % 2 == 0 else F.max
+        of = F.struct(F.col("total") if turn % 2 == 0 else -F.col("total"), "token")
         rows = materialize(rows)
-        rows = rows.join(rows.groupBy("node").agg(pick("token").alias("token")), ["node", "token"])
+        rows = rows.join(rows.groupBy("node").agg(F.max(of)["token"].alias("token")), ["node", "token"])
     rows = rows.join(first.select("node", "mark"), "node").withColumn("k", F.ceil(F.col("total") / BLOCK).cast("int"))
     rows = rows.withColumn("before", F.lag("token").over(Window.partitionBy("node").orderBy("place")) if turn is None else F.lit(None).cast("long"))
     columns = ["node", "place", "component", "mark", "before"]

@@ -161,6 +161,23 @@ def test_keep_one_goes_by_fingerprints(spark, monkeypatch):
     assert found == [(8, 9)] * 2, "in the first group, and where one comes from another group"
 
 
+def test_forest_gives_the_likeliest_pairs():
+    """Of the pairs that would join two components the one of the most similar texts is given, whichever comes first."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    new = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    base = new(400)
+    far, near = (np.unique(np.concatenate([base[k:], new(k)])) for k in (50, 4))
+    far2 = np.unique(np.concatenate([base[:350], new(50)]))
+    row = lambda side, n, component, own: (0, 0, side, n, len(own) << 32, component, near_copies.signature(own), None)
+    rows = [row(0, 1, 1, far), row(0, 2, 1, base), row(1, 1, 1, far), row(1, 2, 1, base), row(1, 8, 2, far2), row(1, 9, 2, near)]
+    names = ["token", "block", "side", "node", "place", "component", "mark", "before"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    pairs = lambda forest: [(r["src"], r["dst"]) for b in near_copies._other_pairs(forest)(iter([batch])) for r in b.to_pylist()]
+    assert pairs(True) == [(2, 9)] and (1, 9) in pairs(False)
+
+
 def test_signatures_never_exclude_similar_sets():
     rng = np.random.default_rng(2)
     for n in (1, 3, 20, 300, 5000):
